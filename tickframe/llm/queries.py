@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, shard
+from . import mixing, quality, shard, simhash
 from .text import table
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.sharded(table(spark, sf_dir, "documents"))
 
@@ -23,7 +27,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_repetition, op6_mixing)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_sharding, op3_repetition, op6_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
