@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, shard, simhash
+from . import decontam, mixing, quality, shard, simhash
 from .text import table
 
 
@@ -26,8 +26,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allocate(table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_sharding, op3_repetition, op6_mixing)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_sharding, op3_repetition, op6_mixing, op7_benchmark_leaks)}
 
 
 def oracle_sql() -> dict[str, str]:

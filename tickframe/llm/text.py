@@ -44,17 +44,27 @@ def column(df: DataFrame, name: str) -> Column:
     raise ValueError(f"column {name} is there more than once")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints; a local one only where all executors are local."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isEmpty():
+            return current.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="tickframe-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in files of the shared folder that the session names."""
+    """df with its lineage cut, in files of the shared folder."""
     spark = df.sparkSession
+    folder = shared_folder(spark)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not spark.sparkContext.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="tickframe-")
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
