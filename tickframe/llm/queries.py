@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, quality, shard, simhash
+from . import decontam, mixing, pii, quality, secrets, shard, simhash
 from .text import table
 
 
@@ -30,8 +30,16 @@ def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_sharding, op3_repetition, op6_mixing, op7_benchmark_leaks)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_sharding, op3_repetition, op6_mixing, op7_benchmark_leaks, op9_secrets, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
