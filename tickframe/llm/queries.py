@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, pii, quality, secrets, shard, simhash
+from . import decontam, mixing, pages, pii, quality, quotes, secrets, shard, simhash
 from .text import table
 
 
@@ -22,6 +22,10 @@ def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extracted(table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allocate(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,10 @@ def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
@@ -39,7 +47,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_sharding, op3_repetition, op6_mixing, op7_benchmark_leaks, op9_secrets, op10_personal_data)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_sharding, op3_repetition, op5_main_text, op6_mixing, op7_benchmark_leaks, op8_chat, op9_secrets, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
