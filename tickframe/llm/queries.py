@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, pages, pii, quality, quotes, secrets, shard, simhash
+from . import decontam, maxent, mixing, pages, pii, quality, quotes, secrets, shard, simhash
 from .text import table
 
 
@@ -22,6 +22,10 @@ def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.scored(table(spark, sf_dir, "documents"))
+
+
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extracted(table(spark, sf_dir, "pages"))
 
@@ -47,7 +51,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_sharding, op3_repetition, op5_main_text, op6_mixing, op7_benchmark_leaks, op8_chat, op9_secrets, op10_personal_data)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_sharding, op3_repetition, op4_language_model, op5_main_text, op6_mixing, op7_benchmark_leaks, op8_chat, op9_secrets, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
