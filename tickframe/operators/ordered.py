@@ -58,7 +58,7 @@ def positions(df: DataFrame, order: Sequence[str], name: str = "pos", start: int
     offsets = sizes.select("__part", (F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__before"))
     keys = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
-    return ranged.withColumn("__i", inside).join(offsets, "__part").withColumn(name, (F.col("__before") + F.col("__i") - 1 + start).cast("bigint")).drop("__part", "__i", "__before")
+    return ranged.withColumn("__row", inside).join(offsets, "__part").withColumn(name, (F.col("__before") + F.col("__row") - 1 + start).cast("bigint")).drop("__part", "__row", "__before")
 
 
 def running_total(df: DataFrame, x: Column, order: Sequence[str], name: str = "total") -> DataFrame:

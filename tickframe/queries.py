@@ -579,10 +579,10 @@ def normal_cdf(spark, sf_dir):
 
 @query(
     "select event_id, round(case when p < 0.5e0 then -z else z end, 6) as z from (select event_id, p, t - (2.515517e0 + t*(0.802853e0 + t*0.010328e0)) / (1 + t*(1.432788e0 + t*(0.189269e0 + t*0.001308e0))) as z "
-    "from (select event_id, p, sqrt(-2 * ln(case when p < 0.5e0 then p else 1 - p end)) as t from (select event_id, (event_id % 999 + 1) / 1000e0 as p from events)))"
+    "from (select event_id, p, sqrt(-2 * ln(case when p < 0.5e0 then p else 1 - p end)) as t from (select event_id, (event_id % 1000 + 1) / 1009e0 as p from events)))"
 )
 def normal_inv(spark, sf_dir):
-    p = (F.col("event_id") % 999 + 1) / F.lit(1000.0)
+    p = (F.col("event_id") % 1000 + 1) / F.lit(1009.0)
     return t(spark, sf_dir, "events").select("event_id", F.round(scalars.normal_inverse(p), 6).alias("z"))
 
 
