@@ -121,10 +121,13 @@ class _Compiler:
         if not self.same_kind(a, b):
             return (a.column.isNull() & b.column.isNull()) if a.null and b.null else F.lit(False), False
         if a.kind == Native.F64:
+            if isinstance(left, Literal) or isinstance(right, Literal):
+                value, side = (left.value, b) if isinstance(left, Literal) else (right.value, a)  # type: ignore[union-attr]
+                if value != 0:  # no zero on one side: values decide
+                    return a.column.eqNullSafe(b.column), False
+                # Not as a conjunction with =, in which the optimizer would put the literal for the column.
+                return side.column.cast("string").eqNullSafe(F.lit(repr(value))), False
             zeros = (a.column != 0) | (a.column.cast("string") == b.column.cast("string"))
-            for side, other in ((left, a), (right, b)):
-                if isinstance(side, Literal) and isinstance(side.value, float) and side.value != 0:
-                    return a.column.eqNullSafe(b.column), False  # no zero on one side: values decide
             return a.column.eqNullSafe(b.column) & F.coalesce(zeros, F.lit(True)), False
         return a.column.eqNullSafe(b.column), False
 
