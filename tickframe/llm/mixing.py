@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import column, cut, fresh, md5_part, same
+from .text import column, cut, fresh, lookup, same
 
 SEED = "mix-1"
 BUCKETS = 4096
@@ -65,7 +65,7 @@ def copied(docs: DataFrame, weights: dict[str | None, int] | None = None, total:
     s, x, whole, part, mass, extra, rank, bucket, edge, taken, key, certain, copies, place = fresh(
         docs, "s", "x", "whole", "part", "mass", "extra", "rank", "bucket", "edge", "taken", "key", "certain", "copies", "place"
     )
-    quota = quota.toDF(s, x, whole, part, mass, extra)
+    quota = lookup(quota).toDF(s, x, whole, part, mass, extra)
     text = F.coalesce(column(docs, "text"), F.lit(""))
     id_ = F.coalesce(column(docs, "doc_id").cast("string"), F.lit(""))
     own = F.concat(F.lit(seed + "|"), id_, F.lit("|"), F.md5(text.cast("binary")))
@@ -81,7 +81,7 @@ def copied(docs: DataFrame, weights: dict[str | None, int] | None = None, total:
     edges = counted.withColumn("upto", upto).where((F.col("upto") >= F.col("m")) & (F.col("upto") - F.col("n") < F.col("m")))
     edges = cut(edges.select("e", edge, (F.col("m") - F.col("upto") + F.col("n")).alias(taken)))
     (e,) = fresh(ranked, "e")
-    edges = edges.withColumnRenamed("e", e)
+    edges = lookup(edges.withColumnRenamed("e", e))
     ranked = ranked.join(edges, same(F.col(s), F.col(e)) & F.col(bucket).isNotNull(), "left")
 
     at_edge = F.coalesce(F.col(bucket) == F.col(edge), F.lit(False))

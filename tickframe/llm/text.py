@@ -69,6 +69,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def lookup(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A checkpointed table for the small side of a join: broadcast if it has few rows, else left to the planner,
+    which knows nothing of a checkpoint's size and would shuffle the large side."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
