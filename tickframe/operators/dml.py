@@ -78,7 +78,7 @@ def insert(store: Store, name: str, rows: DataFrame, with_defaults: bool = False
 
 def values(store: Store, columns: Sequence[str], rows: Sequence[Sequence[object]]) -> DataFrame:
     """Literal rows as a DataFrame. Of a column named twice the later counts; a column's type is that of its
-    first value that isn't null, string if there is none."""
+    first value that isn't null; where there is none, nulls fit any type, and make a string column."""
     if not columns:
         raise ValueError("an insert names its columns")
     if any(len(r) != len(columns) for r in rows):
@@ -86,9 +86,10 @@ def values(store: Store, columns: Sequence[str], rows: Sequence[Sequence[object]
     place = {c.lower(): i for i, c in enumerate(columns)}
     fields = []
     for i in sorted(place.values()):
-        kind = of_value(next((r[i] for r in rows if r[i] is not None), None))
+        first = next((r[i] for r in rows if r[i] is not None), None)
+        kind = of_value(first)
         spark = {Native.I64: T.LongType(), Native.F64: T.DoubleType(), Native.BOOL: T.BooleanType(), Native.BYTES: T.BinaryType()}.get(kind, T.StringType())
-        fields.append(T.StructField(columns[i], spark))
+        fields.append(T.StructField(columns[i], spark if first is not None else T.NullType()))
         if any(r[i] is not None and of_value(r[i]) != kind for r in rows):
             raise TypeError(f"value type mismatch in {columns[i]}")
     return store.spark.createDataFrame([tuple(r[i] for i in sorted(place.values())) for r in rows], T.StructType(fields))

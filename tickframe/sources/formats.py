@@ -23,6 +23,8 @@ def cell(value: object, quoted: bool = False) -> str:
         return "NULL" if quoted else "\\N"
     if isinstance(value, bool):
         return "true" if value else "false"
+    if isinstance(value, int):
+        return str(value)
     if isinstance(value, float):
         return str(int(value)) if value.is_integer() and abs(value) < 1e15 else repr(value)
     if isinstance(value, datetime.datetime):
