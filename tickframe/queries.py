@@ -294,7 +294,7 @@ def quantile_m8(spark, sf_dir):
     return stats.quantiles(t(spark, sf_dir, "events"), "value", "event_id", (0.25, 0.75)).select("p", F.round("q", 6).alias("q"))
 
 
-@query(f"select round(max(q) - min(q), 6) as iqr from ({_M8})")
+@query(f"select round(max(q) - min(q), 6) as iqr from ({_M8.replace('round(', '(').replace(', 6) as q', ') as q')})")
 def iqr_m8(spark, sf_dir):
     return stats.interquartile_range(t(spark, sf_dir, "events"), "value", "event_id").select(F.round("iqr", 6).alias("iqr"))
 
