@@ -93,7 +93,7 @@ def votes(kind: str, span: str, before: list[str], after: list[str]) -> list[int
     if any(w in _YES for w in after[:1]):
         out[4] = 2
     if digits and kind != "email":
-        out[5] = 1 if len(digits) < 7 else 2 if 8 <= len(digits) <= 19 and kind != "number" else 0
+        out[5] = 1 if len(digits) < 7 else 0  # enough digits prove nothing
     if digits and kind != "email" and _DATE.match(span):
         out[6] = 1
     return out
@@ -145,7 +145,7 @@ def unpacked(patterns: np.ndarray) -> np.ndarray:
 
 
 def reliabilities(kinds: np.ndarray, patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of each pattern, share of personal data by kind, P(vote | truth) by labeler, truth and vote)
+    """(posterior of each pattern, share of personal data by kind, P(vote | truth, it votes) by labeler, truth and vote)
     from the counts of vote patterns by kind."""
     v = unpacked(patterns)
     score = (v == 2).sum(1) - (v == 1).sum(1)
@@ -157,12 +157,13 @@ def reliabilities(kinds: np.ndarray, patterns: np.ndarray, counts: np.ndarray) -
             share[k] = ((counts * posterior)[at].sum() + 1) / (counts[at].sum() + 2)
         for i in range(len(LABELERS)):
             for truth, p in enumerate((1 - posterior, posterior)):
-                weight = np.bincount(v[:, i], counts * p, 3) + np.array([2.0, 2.0 if truth == 0 else 0.5, 2.0 if truth else 0.5])
+                weight = np.bincount(v[:, i], counts * p, 3) + np.array([0.0, 2.0 if truth == 0 else 0.5, 2.0 if truth else 0.5])
+                weight[0] = 0  # when a labeler is silent depends on the kind of span, not on the truth
                 says[i, truth] = weight / weight.sum()
         odds = np.log(share[kinds] / (1 - share[kinds]))
         for i in range(len(LABELERS)):
             spoke = v[:, i] > 0
-            odds += np.where(spoke, np.log(says[i, 1, v[:, i]] / says[i, 0, v[:, i]]), 0.0)
+            odds += np.where(spoke, np.log((says[i, 1, v[:, i]] + 1e-12) / (says[i, 0, v[:, i]] + 1e-12)), 0.0)
         posterior = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return posterior, share, says
 
