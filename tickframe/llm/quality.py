@@ -130,11 +130,11 @@ def reject(docs: DataFrame) -> DataFrame:
 def oracle() -> str:
     """DuckDB SQL for assess(documents)."""
     grams = ",\n".join(
-        f"g{n} as (select doc_id, i, row_number() over (partition by doc_id, list_aggregate(ws[i:i+{n - 1}], 'string_agg', ' ') order by i) as r "
-        f"from (select doc_id, ws, unnest(range(1, len(ws) - {n - 2})) as i from w)),\n"
-        f"d{n} as (select doc_id, cast(sum(length(ws[p])) as bigint) as c from (select distinct g.doc_id, unnest(range(i, i + {n})) as p from g{n} g where r > 1) join w using (doc_id) group by doc_id)"
+        f"g{n} as (select doc_id, i, row_number() over (partition by doc_id, {', '.join(f'w{k}' for k in range(n))} order by i) as r from g where w{n - 1} is not null),\n"
+        f"d{n} as (select doc_id, cast(sum(length(w0)) as bigint) as c from (select distinct doc_id, unnest(range(i, i + {n})) as i from g{n} where r > 1) join g using (doc_id, i) group by doc_id)"
         for n in SIZES
     )
+    ahead = ", ".join(f"lead(w0, {k}) over (partition by doc_id order by i) as w{k}" for k in range(1, max(SIZES)))
     ok = " and ".join([f"dup_lines*100 <= chars*{LINE_LIMIT}", *(f"dup_{n}*100 <= chars*{LIMITS[n]}" for n in SIZES)])
     return f"""
 with l as (select doc_id, row_number() over () as k, list_filter(regexp_split_to_array(line, '[\\x00-\\x20]+'), lambda x: x <> '') as lw
@@ -142,6 +142,7 @@ with l as (select doc_id, row_number() over () as k, list_filter(regexp_split_to
 ll as (select doc_id, k, list_aggregate(lw, 'string_agg', ' ') as line, list_sum(list_transform(lw, lambda x: length(x))) as c from l where len(lw) > 0),
 dl as (select doc_id, cast(sum(c) as bigint) as c from (select doc_id, c, row_number() over (partition by doc_id, line order by k) as r from ll) where r > 1 group by doc_id),
 w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x00-\\x20]+'), lambda x: x <> '') as ws from documents),
+g as (select doc_id, i, w0, {ahead} from (select doc_id, unnest(ws) as w0, generate_subscripts(ws, 1) as i from w where len(ws) > 0)),
 {grams},
 m as (select doc_id, cast(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) as bigint) as chars, cast(len(ws) as bigint) as words,
   coalesce(dl.c, 0) as dup_lines, {", ".join(f"coalesce(d{n}.c, 0) as dup_{n}" for n in SIZES)}
