@@ -1,5 +1,7 @@
 """Scripts of the dialect: what each kind of table and expression shows."""
 
+import os
+
 import pytest
 from pyspark.errors import PySparkException
 
@@ -74,6 +76,8 @@ def test_queries(s):
     assert shown(s, "SELECT k, sum(k) OVER (PARTITION BY g ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r FROM a ORDER BY k") == "1\t1\n2\t3\n3\t3\n"
     assert shown(s, "SELECT k FROM a WHERE k IN (SELECT k FROM a WHERE g = 'q') UNION ALL SELECT 9 ORDER BY k") == "3\n9\n"
     assert 0 <= single(s.query("SELECT count() FROM a SAMPLE 0.5")) <= 3
+    parts = os.listdir(f"{s.store.root}/{s.store.table('a').pieces[0]['path']}")
+    assert {p for p in parts if p.startswith("__part")} == {"__part=202405", "__part=202406"}
     s.run("CREATE VIEW v AS SELECT g, count() AS c FROM a GROUP BY g")
     assert shown(s, "SELECT g, c FROM v ORDER BY g FORMAT JSONEachRow") == '{"g":"p","c":2}\n{"g":"q","c":1}\n'
     s.run("CREATE TABLE copy AS SELECT k, g FROM a WHERE k > 1; DROP VIEW v")
