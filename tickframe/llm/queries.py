@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontam, maxent, mixing, pages, pii, quality, quotes, secrets, shard, simhash
-from .text import table
+from .text import spread, table
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.groups(table(spark, sf_dir, "documents"))
+    return simhash.groups(spread(table(spark, sf_dir, "documents")))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,15 +19,15 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.assess(table(spark, sf_dir, "documents"))
+    return quality.assess(spread(table(spark, sf_dir, "documents")))
 
 
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maxent.scored(table(spark, sf_dir, "documents"))
+    return maxent.scored(spread(table(spark, sf_dir, "documents")))
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.extracted(table(spark, sf_dir, "pages"))
+    return pages.extracted(spread(table(spark, sf_dir, "pages")))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.leaks(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,11 +43,11 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secrets(table(spark, sf_dir, "documents"))
+    return secrets.secrets(spread(table(spark, sf_dir, "documents")))
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.personal(table(spark, sf_dir, "documents"))
+    return pii.personal(spread(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

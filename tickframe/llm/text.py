@@ -26,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores at least: a few small files else keep most of them idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df doesn't have, whatever the case."""
     taken, out = {c.lower() for c in df.columns}, []
