@@ -86,23 +86,24 @@ class Scanner:
         return out
 
 
-@F.arrow_udf(_FOUND)
-def scanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    scanner = Scanner()
-    for batch in batches:
-        found = [f for _, data, offsets in pieces(batch, ABREAST) for f in scanner.scan(data, offsets)]
-        flat = np.array([x for f in found for x in f], np.int64).reshape(-1, 3)
-        ends = pa.array(np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int32))
-        fields = pa.StructArray.from_arrays([pa.array(flat[:, 0].astype(np.int32)), pa.array(flat[:, 1].copy()), pa.array(flat[:, 2].copy())], ["rule", "start", "stop"])
-        yield pa.ListArray.from_arrays(ends, fields)
+def scanning(scanner: Scanner):
+    """UDF: the secrets of a text. The automaton is built once, by the caller, and sent along."""
 
+    @F.arrow_udf(_FOUND)
+    def scanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            found = [f for _, data, offsets in pieces(batch, ABREAST) for f in scanner.scan(data, offsets)]
+            flat = np.array([x for f in found for x in f], np.int64).reshape(-1, 3)
+            ends = pa.array(np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int32))
+            fields = pa.StructArray.from_arrays([pa.array(flat[:, 0].astype(np.int32)), pa.array(flat[:, 1].copy()), pa.array(flat[:, 2].copy())], ["rule", "start", "stop"])
+            yield pa.ListArray.from_arrays(ends, fields)
 
-scanned = scanned.asNondeterministic()  # else a filter on its result would run it twice
+    return scanned.asNondeterministic()  # else a filter on its result would run it twice
 
 
 def secrets(docs: DataFrame) -> DataFrame:
     """doc_id, rule, start and stop of every secret, with the sha2 of its bytes instead of them."""
-    found = docs.select(column(docs, "doc_id").alias("doc_id"), column(docs, "text").cast("binary").alias("b"), scanned(column(docs, "text")).alias("f"))
+    found = docs.select(column(docs, "doc_id").alias("doc_id"), column(docs, "text").cast("binary").alias("b"), scanning(Scanner())(column(docs, "text")).alias("f"))
     each = found.where(F.size("f") > 0).select("doc_id", "b", F.explode("f").alias("f"))
     name = F.element_at(F.array(*map(F.lit, RULES)), F.col("f")["rule"] + 1)
     start, stop = F.col("f")["start"], F.col("f")["stop"]
