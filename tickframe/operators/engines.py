@@ -26,11 +26,10 @@ def balance(df: DataFrame, keys: Sequence[str], sign: Column, name: str = "balan
     return df.groupBy(*keys).agg(F.sum(sign).cast("bigint").alias(name))
 
 
-def collapsing(df: DataFrame, keys: Sequence[str], sign: str, order: str | None = None) -> DataFrame:
-    """The last row of each key whose signs add up to more than 0."""
+def collapsing(df: DataFrame, keys: Sequence[str], sign: str, order: str) -> DataFrame:
+    """Of each key whose signs add up to more than 0 the last positive row by order."""
     rest = [c for c in df.columns if c not in (*keys, sign)]
-    positive = F.struct(*rest) if order is None else F.max_by(F.struct(*rest), F.when(F.col(sign) > 0, F.col(order)))
-    last = F.last(positive, True) if order is None else positive
+    last = F.max_by(F.struct(*rest), F.when(F.col(sign) > 0, F.col(order)))
     out = df.groupBy(*keys).agg(F.sum(sign).alias("__sum"), last.alias("__last")).where("__sum > 0")
     return out.select(*keys, *(F.col("__last")[c].alias(c) for c in rest))
 

@@ -176,13 +176,3 @@ def compiled(e: Expr, schema: T.StructType, mode: Mode = Mode.SELECT, suspect: C
     if mode is Mode.DELETE:
         return F.coalesce(column, F.lit(False))
     return F.when(column.isNull(), F.raise_error(F.lit(ERROR)).cast("boolean")).otherwise(column)
-
-
-
-def names(e: Expr) -> set[str]:
-    """The columns that e reads."""
-    if isinstance(e, Name):
-        return {e.name}
-    if isinstance(e, Compare | And | Or):
-        return names(e.left) | names(e.right)
-    return names(e.inner) if isinstance(e, Not) else set()
