@@ -46,6 +46,43 @@ def test_probabilities_add_up():
     assert np.allclose(total, 1, atol=1e-4)
 
 
+def test_vocabulary_grows_with_the_corpus(spark):
+    """Every word above the threshold has an output of its own, all outputs add up, and random strings don't score like rare words."""
+    rng = random.Random(12)
+    sign = lambda: rng.choice("ptk") + rng.choice("aeiou")
+    seen = sorted({"".join(sign() for _ in range(4)) for _ in range(12_000)})
+    rng.shuffle(seen)
+    often, seldom = seen[:8000], seen[8000:8500]
+    docs = [(i, " ".join(w for w in often[i % 8 :: 8])) for i in range(48)] + [(99, " ".join(seldom))]
+    df = spark.createDataFrame(docs, DOC)
+    model = maxent.started(df)
+    assert len(model.known) == 8000 == len(set(model.output.tolist()))
+    places = np.r_[model.output, model.unknown]
+    top, line, node, place = model.walk(places)
+    way = np.bincount(line, model.word_bias[node, place].astype(float), len(places)) + model.class_bias[top]
+    assert len(model.word_bias) > maxent.CLASSES and np.exp(way).sum() == pytest.approx(1, abs=1e-3)
+    rows = [(1, often[0]), (2, seldom[0]), (3, "xq7wz9vj")]
+    got = {r.doc_id: r.bits for r in maxent.scored(spark.createDataFrame(rows, DOC), model).collect()}
+    assert got[1] == pytest.approx(np.log2(48_500.5 / 6), abs=0.1) and got[2] > got[1] and got[3] > got[2] + 10
+    assert len(maxent.layout(2_000_000)[0]) == 2_000_000 == len(set(maxent.layout(2_000_000)[0].tolist()))
+
+
+def test_spellings_are_a_distribution():
+    pairs = np.zeros((257, 257))
+    pairs[256, 97] = pairs[97, 98] = pairs[98, 256] = 5
+    p = np.where(maxent.letters(pairs) > 0, 2.0 ** -maxent.letters(pairs), 0)
+    assert np.allclose(p.sum(1)[np.r_[maxent.WORD_BYTES, True]], 1) and p[256, 256] == 0
+    found = next(maxent.tokens(maxent.Rolling(), pa.array(["ab, c", "ab"])))
+    assert found.pairs(np.array([0, 2]))[[256, 97, 98], [97, 98, 256]].tolist() == [2, 2, 2] and found.pairs(np.array([0, 2])).sum() == 6
+    assert found.spelt(maxent.letters(pairs), np.array([2]))[0] == pytest.approx(-np.log2(p[256, 97] * p[97, 98] * p[98, 256]))
+
+
+def test_tables_grow_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "TOKENS_A_ROW", 1)
+    model = maxent.started(spark.createDataFrame([(1, "a b c d e " * 20_000)], DOC))
+    assert model.word_rows.shape == (100_000, maxent.WIDTH) and model.class_rows.shape == (50_000, maxent.CLASSES)
+
+
 def test_steps_add_up_equal_rows():
     rng = np.random.default_rng(1)
     rows, used = rng.normal(size=(8, 4)).astype(np.float32), np.zeros(8)

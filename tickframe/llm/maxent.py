@@ -1,16 +1,22 @@
 """Scores of texts by a hashed maximum-entropy language model with a class-factored softmax.
 
-Words are lower-case runs of letters and digits. The `TOP` most frequent ones of the corpus have an output of
-their own, all others share `SHARED` outputs by hash; outputs in order of frequency form classes of `WIDTH`.
-P(word | context) = P(class | context) * P(word | class, context), both softmaxes of the unigram log-frequency
-and weights of the context's features: the word before, the two words before, and, skipping one, the word before
-that; each hashed to a row of the class table and, with the class, to a row of the word table.
+Words are lower-case runs of letters and digits. Every word that the corpus has `LEAST` times has an output of its
+own; all others share the unknown word's, inside which each has the probability of its spelling, by pairs of bytes
+as the corpus's rare words have them. Outputs in order of frequency are the leaves of a tree: `CLASSES` classes of
+`WIDTH` places, and where words outgrow a level, its last places hold nodes of `WIDTH` places each, so that the
+number of nodes grows with the vocabulary. P(word | context) = P(class | context) * P(place | node, context) for
+each node on the way to the word, all softmaxes of the unigram log-frequency and weights of the context's features:
+the word before, the two words before, and, skipping one, the word before that; each hashed to a row of the class
+table and, with the node, to a row of the word table. A row of the word table stands for `TOKENS_A_ROW` words of
+the corpus, one of the class table for twice as many; small corpora have `WORD_ROWS` and `CLASS_ROWS`. So tables
+grow with the corpus, though contexts still share rows.
 
 All counts are over the whole corpus. Training passes over each document once, in `ROUNDS` parts: every task
 takes gradient steps on its documents from the weights sent out, and returns the rows that it has changed
 times how often; a row's new weights are the mean of the tasks' weights by that number, summed block by block on
-the executors. At most `TASKS` tasks train at once, so that what they return doesn't outgrow the weights; the
-weights have a fixed size. Scores are the log2 probabilities of a text's words, in batches.
+the executors. As many tasks train at once as there are cores, `TASKS` at most, as each returns up to a whole
+table. Driver and workers hold the weights, which take about 0.6 bytes a word of the corpus. Scores are the log2
+probabilities of a text's words, in batches.
 
 Texts without words, null and empty ones too, have 0 words, 0.0 bits and null bits per word. Equal texts have
 equal scores. An empty table gives an empty result. Extra columns don't matter.
@@ -19,7 +25,7 @@ equal scores. An empty table gives an empty result. Extra columns don't matter.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,21 +38,29 @@ from .text import WORD_BYTES, Rolling, column, mix, pieces, word_hashes, words
 
 WIDTH = 32
 CLASSES = 16
-SHARED = 128
-TOP = CLASSES * WIDTH - SHARED
+LEAST = 5
 CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 15
+TOKENS_A_ROW = 256
 ROUNDS = 2
 BATCH = 8192
 RATE = 0.7
 BLOCKS = 256
 TASKS = 1024
 _FEATURES = 3
+_NOTHING = 1e-6
+_EDGE = 256
+
+
+def uniform() -> np.ndarray:
+    return letters(np.zeros((_EDGE + 1, _EDGE + 1)))
 
 
 @dataclass
 class Model:
-    """known: hashes of the frequent words, sorted, and output: their outputs; class_bias and word_bias are
-    unigram logarithms."""
+    """known: hashes of the words with an output, sorted, and output: their places, a node's number times `WIDTH`
+    and the place in it; class_bias and word_bias are unigram logarithms. above: the places that lead to the nodes
+    beyond the classes; unknown: the unknown word's place; spelling: bits of each byte after each, `_EDGE` for a
+    word's start and end."""
 
     known: np.ndarray
     output: np.ndarray
@@ -54,15 +68,54 @@ class Model:
     word_bias: np.ndarray
     class_rows: np.ndarray
     word_rows: np.ndarray
+    above: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    unknown: int = 0
+    spelling: np.ndarray = field(default_factory=uniform)
 
     def outputs(self, codes: np.ndarray) -> np.ndarray:
-        out = TOP + (codes % np.uint64(SHARED)).astype(np.int64)
+        out = np.full(len(codes), self.unknown, np.int64)
         if len(self.known):
             at = np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)
             hit = self.known[at] == codes
             out[hit] = self.output[at[hit]]
         return out
 
+    def walk(self, out: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(class of each output; and for each node on the way to one: index of the output, node, place in it)."""
+        top, line, ways = np.zeros(len(out), np.int64), np.arange(len(out)), []
+        while len(line):
+            node = out // WIDTH
+            ways.append((line, node, out % WIDTH))
+            top[line] = node
+            deep = node >= CLASSES
+            line, out = line[deep], self.above[node[deep] - CLASSES]
+        return (top, *(np.concatenate(x) for x in zip(*ways))) if ways else (top, line, line, line)
+
+
+def letters(pairs: np.ndarray) -> np.ndarray:
+    """Bits of each byte or end after each byte or start, from how often the pairs are there."""
+    may = np.r_[WORD_BYTES, True]
+    seen = np.where(may[:, None] & may, pairs + 0.02, 0.0)
+    seen[_EDGE, _EDGE] = 0  # no word is empty
+    with np.errstate(divide="ignore"):
+        bits = -np.log2(seen / np.maximum(seen.sum(1, keepdims=True), 1e-300))
+    return np.where(np.isfinite(bits), bits, 0.0)
+
+
+def layout(words_: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the words in order of frequency, places that lead to the nodes beyond the classes)."""
+    first, nodes, places, above = 0, CLASSES, [], []
+    while True:
+        free, inner = nodes * WIDTH, 0
+        if words_ > free:
+            inner = min(free // (2 if first else 4), -(-(words_ - free) // (WIDTH - 1)))
+        places.append(first + np.arange(min(words_, free - inner)))
+        words_ -= len(places[-1])
+        above.append(first + free - inner + np.arange(inner))
+        first, nodes = first + free, inner
+        if not words_:
+            return np.concatenate(places), np.concatenate(above)
+
 
 def contexts(codes: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """64-bit features of each word's context, a column each."""
@@ -73,12 +126,12 @@ def contexts(codes: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return np.stack([mix(one + np.uint64(1)), mix(one * np.uint64(0x9E3779B97F4A7C15) + two + np.uint64(2)), mix(two + np.uint64(3))])
 
 
-def class_at(features: np.ndarray) -> np.ndarray:
-    return (features & np.uint64(CLASS_ROWS - 1)).astype(np.uint16)
+def row_at(hashes: np.ndarray, rows: int) -> np.ndarray:
+    return (((hashes & np.uint64(0xFFFFFFFF)) * np.uint64(rows)) >> np.uint64(32)).astype(np.int32)
 
 
-def word_at(features: np.ndarray, group: np.ndarray) -> np.ndarray:
-    return (((features >> np.uint64(24)) + group.astype(np.uint64) * np.uint64(0x9E37)) & np.uint64(WORD_ROWS - 1)).astype(np.uint16)
+def word_at(features: np.ndarray, node: np.ndarray, rows: int) -> np.ndarray:
+    return row_at(mix((features >> np.uint64(24)) + node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), rows)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -88,22 +141,38 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def forward(model: Model, features: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(rows of classes, rows of words, P of each class, P of each word in the group)."""
-    a, b = class_at(features), word_at(features, group)
-    zc, zw = model.class_rows.take(a[0], axis=0), model.word_rows.take(b[0], axis=0)
+def classes(model: Model, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, P of each class)."""
+    at = row_at(features, len(model.class_rows))
+    z = model.class_rows.take(at[0], axis=0)
     for f in range(1, _FEATURES):
-        zc += model.class_rows.take(a[f], axis=0)
-        zw += model.word_rows.take(b[f], axis=0)
-    zc += model.class_bias
-    zw += model.word_bias.take(group, axis=0)
-    return a, b, softmax(zc), softmax(zw)
+        z += model.class_rows.take(at[f], axis=0)
+    z += model.class_bias
+    return at, softmax(z)
+
+
+def places(model: Model, features: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, P of each place in the node)."""
+    at = word_at(features, node, len(model.word_rows))
+    z = model.word_rows.take(at[0], axis=0)
+    for f in range(1, _FEATURES):
+        z += model.word_rows.take(at[f], axis=0)
+    z += model.word_bias.take(node, axis=0)
+    return at, softmax(z)
+
+
+def forward(model: Model, features: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of classes, rows of words, P of each class, P of each place in the group)."""
+    (a, of_class), (b, of_place) = classes(model, features), places(model, features, group)
+    return a, b, of_class, of_place
 
 
 def step(rows: np.ndarray, used: np.ndarray, at: np.ndarray, gradient: np.ndarray) -> None:
     """One descent step on the rows that a batch has used; gradient has a line for each column of at."""
     flat = at.reshape(-1)
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort((flat & 0xFFFF).astype(np.uint16), kind="stable")  # numbers of 16 bits are sorted by radix
+    if flat.dtype.itemsize > 2:
+        order = order[np.argsort((flat >> 16).astype(np.uint16)[order], kind="stable")]
     ranked = flat[order]
     heads = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
     count = np.diff(np.r_[heads, len(ranked)])
@@ -123,11 +192,42 @@ def step(rows: np.ndarray, used: np.ndarray, at: np.ndarray, gradient: np.ndarra
     used[which] += count
 
 
-def tokens(rolling: Rolling, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(index of the first text, number of texts, hashes of words, texts that they are in, from 0)."""
+@dataclass
+class Tokens:
+    """Words of some texts: index of the first text, number of texts, hashes of words, the texts that they are in
+    (from 0), and their bytes."""
+
+    first: int
+    many: int
+    codes: np.ndarray
+    owner: np.ndarray
+    data: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+
+    def pairs(self, some: np.ndarray) -> np.ndarray:
+        """How often each byte or end follows each byte or start in some of the words."""
+        side, inside = _EDGE + 1, np.zeros(len(self.data) + 1, np.int64)
+        np.add.at(inside, self.start[some] + 1, 1)
+        np.add.at(inside, self.end[some], -1)
+        here = np.flatnonzero(np.cumsum(inside)[:-1])
+        first, last = self.data[self.start[some]].astype(np.int64), self.data[self.end[some] - 1].astype(np.int64)
+        at = np.concatenate([self.data[here - 1].astype(np.int64) * side + self.data[here], _EDGE * side + first, last * side + _EDGE])
+        return np.bincount(at, minlength=side * side).reshape(side, side)
+
+    def spelt(self, spelling: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Bits of the spelling of some of the words."""
+        after = np.zeros(len(self.data))
+        after[1:] = spelling[self.data[:-1], self.data[1:]]
+        total = np.cumsum(after)
+        start, last = self.start[some], self.end[some] - 1
+        return spelling[_EDGE, self.data[start]] + (total[last] - total[start]) + spelling[self.data[last], _EDGE]
+
+
+def tokens(rolling: Rolling, texts: pa.Array) -> Iterator[Tokens]:
     for first, data, offsets in pieces(pc.utf8_lower(texts)):
         start, end, owner = words(data, offsets, WORD_BYTES)
-        yield first, len(offsets) - 1, word_hashes(rolling, data, start, end) if len(start) else np.zeros(0, np.uint64), owner
+        yield Tokens(first, len(offsets) - 1, word_hashes(rolling, data, start, end) if len(start) else np.zeros(0, np.uint64), owner, data, start, end)
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -136,7 +236,7 @@ def counts(docs: DataFrame) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for batch in batches:
-            parts = [np.unique(codes, return_counts=True) for _, _, codes, _ in tokens(rolling, batch.column(0))]
+            parts = [np.unique(codes, return_counts=True) for codes in (t.codes for t in tokens(rolling, batch.column(0)))]
             if parts:
                 values, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
                 n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(values)).astype(np.int64)
@@ -145,46 +245,71 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.select(column(docs, "text")).mapInArrow(counted, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
+def rare(docs: DataFrame, known: np.ndarray) -> np.ndarray:
+    """Pairs of bytes in the words that aren't known."""
+    sent = docs.sparkSession.sparkContext.broadcast(Model(known, np.ones(len(known), np.int64), *[np.zeros(0)] * 4))
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling, total = Rolling(), np.zeros((_EDGE + 1, _EDGE + 1), np.int64)
+        for batch in batches:
+            for t in tokens(rolling, batch.column(0)):
+                some = np.flatnonzero(sent.value.outputs(t.codes) == 0)
+                if len(some):
+                    total += t.pairs(some)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.reshape(-1)[at])], ["at", "n"])
+
+    found = docs.select(column(docs, "text")).mapInArrow(paired, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((_EDGE + 1) ** 2)
+    out[found["at"].to_numpy()] = found["n"].to_numpy()
+    sent.unpersist()
+    return out.reshape(_EDGE + 1, _EDGE + 1)
+
+
 def started(docs: DataFrame) -> Model:
     """The model of single words."""
-    found = counts(docs).withColumn("shared", F.pmod(F.col("h").cast("decimal(20,0)") + F.when(F.col("h") < 0, F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(0), F.lit(SHARED)).cast("int"))
-    found = found.persist()
+    found = counts(docs).persist()
     try:
-        top = found.orderBy(F.col("n").desc(), "h").limit(TOP).collect()
-        rest = np.full(SHARED, 0.5)
-        for r in found.groupBy("shared").agg(F.sum("n").alias("n")).collect():
-            rest[r.shared] += r.n
+        own = found.where(F.col("n") >= LEAST).toArrow()
+        others = found.where(F.col("n") < LEAST).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     finally:
         found.unpersist()
-    weight = np.full(TOP + SHARED, 0.5)
-    for i, r in enumerate(top):
-        weight[i] += r.n
-        rest[r.shared] -= r.n
-    weight[TOP:] = np.maximum(rest, 0.5)
-    codes = np.array([r.h for r in top], np.int64).view(np.uint64)
-    order = np.argsort(codes)
-    by = weight.reshape(CLASSES, WIDTH)
-    share = np.log(by.sum(1) / by.sum())
-    within = np.log(by / by.sum(1, keepdims=True))
-    return Model(codes[order], order, share.astype(np.float32), within.astype(np.float32), np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((WORD_ROWS, WIDTH), np.float32))
+    codes, n = own["h"].to_numpy().view(np.uint64), own["n"].to_numpy()
+    order = np.lexsort((codes, -n))
+    codes, n = codes[order], n[order].astype(np.float64)
+    unknown = int(np.searchsorted(-n, -float(others)))
+    where, above = layout(len(codes) + 1)
+    weight = np.full((CLASSES + len(above)) * WIDTH, _NOTHING)
+    weight[where] = np.insert(n, unknown, others + 0.5)
+    by = weight.reshape(-1, WIDTH)
+    end = len(above)
+    while end:  # nodes come after those that lead to them: here all after the one that leads to the last
+        low = max(0, int(above[end - 1]) // WIDTH - CLASSES + 1)
+        weight[above[low:end]] = by[CLASSES + low : CLASSES + end].sum(1)
+        end = low
+    top = by[:CLASSES].sum(1)
+    share, within = np.log(top / top.sum()), np.log(by / by.sum(1, keepdims=True))
+    sorted_, total = np.argsort(codes), int(n.sum() + others)
+    class_rows = np.zeros((max(CLASS_ROWS, total // (2 * TOKENS_A_ROW)), CLASSES), np.float32)
+    word_rows = np.zeros((max(WORD_ROWS, total // TOKENS_A_ROW), WIDTH), np.float32)
+    output = np.delete(where, unknown)[sorted_].astype(np.int32)
+    return Model(codes[sorted_], output, share.astype(np.float32), within.astype(np.float32), class_rows, word_rows, above, int(where[unknown]), letters(rare(docs, codes[sorted_])))
 
 
 def learn(model: Model, rolling: Rolling, texts: Iterator[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
     """Gradient steps over texts in place; how often each row of the two tables was used."""
-    used_c, used_w = np.zeros(CLASS_ROWS), np.zeros(WORD_ROWS)
+    used_c, used_w = np.zeros(len(model.class_rows)), np.zeros(len(model.word_rows))
     for batch in texts:
-        for _, _, codes, owner in tokens(rolling, batch):
-            target = model.outputs(codes)
-            features = contexts(codes, owner)
-            for i in range(0, len(codes), BATCH):
-                some, out = features[:, i : i + BATCH], target[i : i + BATCH]
-                group = out // WIDTH
-                a, b, pc_, pw = forward(model, some, group)
-                line = np.arange(len(out))
-                pc_[line, group] -= 1
-                pw[line, out % WIDTH] -= 1
-                step(model.class_rows, used_c, a, pc_)
-                step(model.word_rows, used_w, b, pw)
+        for t in tokens(rolling, batch):
+            target, features = model.outputs(t.codes), contexts(t.codes, t.owner)
+            for i in range(0, len(target), BATCH):
+                some = features[:, i : i + BATCH]
+                top, line, node, place = model.walk(target[i : i + BATCH])
+                (a, of_class), (b, of_place) = classes(model, some), places(model, some[:, line], node)
+                of_class[np.arange(len(top)), top] -= 1
+                of_place[np.arange(len(node)), place] -= 1
+                step(model.class_rows, used_c, a, of_class)
+                step(model.word_rows, used_w, b, of_place)
     return used_c, used_w
 
 
@@ -197,7 +322,7 @@ def trained(docs: DataFrame) -> Model:
 
         def worked(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = sent.value
-            own = Model(own.known, own.output, own.class_bias, own.word_bias, own.class_rows.copy(), own.word_rows.copy())
+            own = replace(own, class_rows=own.class_rows.copy(), word_rows=own.word_rows.copy())
             used = learn(own, Rolling(), (b.column(0) for b in batches))
             if not used[0].any():
                 return
@@ -212,15 +337,15 @@ def trained(docs: DataFrame) -> Model:
             total: dict[int, np.ndarray] = {}
             for batch in batches:
                 for b, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    sums = np.frombuffer(sums.as_buffer(), np.float32).astype(np.float64)
-                    total[b] = total[b] + sums if b in total else sums
+                    sums = np.frombuffer(sums.as_buffer(), np.float32)
+                    total[b] = total[b] + sums if b in total else sums.copy()
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["block", "sums"])
 
-        own = texts.where(F.col("part") == part).select("text").coalesce(TASKS)
+        own = texts.where(F.col("part") == part).select("text").coalesce(max(1, min(TASKS, spark.sparkContext.defaultParallelism)))
         sums = own.mapInArrow(worked, "block int, sums binary").repartition("block").mapInArrow(added, "block int, sums binary").toArrow()
-        for b, packed in zip(sums["block"].to_pylist(), sums["sums"].to_pylist()):
-            packed, at = np.frombuffer(packed, np.float64), 0
+        for b, packed in zip(sums["block"].to_pylist(), sums["sums"]):
+            packed, at = np.frombuffer(packed.as_buffer(), np.float32), 0
             for rows in (model.class_rows, model.word_rows):
                 low, high = b * len(rows) // BLOCKS, (b + 1) * len(rows) // BLOCKS
                 size = (high - low) * rows.shape[1]
@@ -231,16 +356,19 @@ def trained(docs: DataFrame) -> Model:
     return model
 
 
-def bits(model: Model, codes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+def bits(model: Model, found: Tokens) -> np.ndarray:
     """Of each word -log2 of its probability."""
-    out = np.zeros(len(codes))
-    target, features = model.outputs(codes), contexts(codes, owner)
-    for i in range(0, len(codes), BATCH):
-        some = target[i : i + BATCH]
-        group = some // WIDTH
-        _, _, pc_, pw = forward(model, features[:, i : i + BATCH], group)
-        line = np.arange(len(some))
-        out[i : i + BATCH] = -np.log2(np.maximum(pc_[line, group].astype(np.float64) * pw[line, some % WIDTH], 1e-30))
+    out = np.zeros(len(found.codes))
+    target, features = model.outputs(found.codes), contexts(found.codes, found.owner)
+    for i in range(0, len(target), BATCH):
+        some = features[:, i : i + BATCH]
+        top, line, node, place = model.walk(target[i : i + BATCH])
+        (_, of_class), (_, of_place) = classes(model, some), places(model, some[:, line], node)
+        way = -np.log2(np.maximum(of_place[np.arange(len(node)), place].astype(np.float64), 1e-30))
+        out[i : i + BATCH] = np.bincount(line, way, len(top)) - np.log2(np.maximum(of_class[np.arange(len(top)), top].astype(np.float64), 1e-30))
+    strange = np.flatnonzero(target == model.unknown)
+    if len(strange):
+        out[strange] += found.spelt(model.spelling, strange)
     return out
 
 
@@ -253,9 +381,9 @@ def scored(docs: DataFrame, model: Model | None = None) -> DataFrame:
         rolling = Rolling()
         for batch in batches:
             n, total = np.zeros(len(batch), np.int64), np.zeros(len(batch))
-            for first, many, codes, owner in tokens(rolling, batch):
-                n[first : first + many] = np.bincount(owner, minlength=many)
-                total[first : first + many] = np.bincount(owner, bits(sent.value, codes, owner), many)
+            for t in tokens(rolling, batch):
+                n[t.first : t.first + t.many] = np.bincount(t.owner, minlength=t.many)
+                total[t.first : t.first + t.many] = np.bincount(t.owner, bits(sent.value, t), t.many)
             yield pa.StructArray.from_arrays([pa.array(n), pa.array(np.round(total, 3))], ["words", "bits"])
 
     out = docs.select(column(docs, "doc_id").alias("doc_id"), score.asNondeterministic()(column(docs, "text")).alias("s"))
