@@ -218,6 +218,26 @@ def test_secrets_against_regexes(monkeypatch):
     assert got == expected and {r for f in got for r, _, _ in f} == set(range(len(secrets.RULES)))
 
 
+def test_assigned_secrets_of_any_case(monkeypatch):
+    """Planted places, not the rule's own regex."""
+    monkeypatch.setattr(secrets, "SPAN", 64)
+    signs = ['TOKEN = "', "API_KEY=", "DB_PASSWORD=", "Password: ", "secret_key=", '"password": "', "'Api-Key' : '", "secretKey   =   ", "AWS_SECRET_ACCESS_KEY\t=\t", "token2=", '{\\"Token\\": \\"', "pwd=", "access_key ="]
+    value = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    texts = ["x" * (7 * i) + " " + sign + value + '" end' for i, sign in enumerate(signs)]
+    texts += ["secretary: Elizabethan", "tokenizer = sentencepiece", "PASSWORDS ARE LONGENOUGH", "TOKEN=SHORT"]
+    got = [f for _, data, offsets in pieces(pa.array(texts)) for f in secrets.Scanner().scan(data, offsets)]
+    rule = list(secrets.RULES).index("assigned_secret")
+    assert [[(r, t[b - len(value) : b]) for r, _, b in f] for t, f in zip(texts, got)] == [[(rule, value)]] * len(signs) + [[]] * 4
+
+
+def test_automaton_without_case():
+    machine, texts = Automaton(["(?i:k[a-c]|\\d)x", "é(?i:[^a])"]), ["Kbx", "kCx", "kbX", "7x", "éA", "éb"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    span, _, bits = machine.ends(data, offsets[:-1], offsets[1:])
+    assert sorted(zip(span.tolist(), bits.tolist())) == [(0, 1), (1, 1), (3, 1), (5, 2)]
+
+
 def test_secrets_of_hard_texts(spark):
     key = "AKIA" + "Q7" * 8
     rows = [(1, key), (2, None), (None, f"é {key}."), (3, ""), (4, "x" * 50_000 + " " + key), (1, key)]

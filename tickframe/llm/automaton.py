@@ -1,7 +1,7 @@
 """Regular expressions of bytes compiled into one minimal deterministic automaton.
 
-Syntax: literals, escapes (\\d \\w \\s and escaped signs), classes with ranges and negation, groups, `|`, and the
-repeats ? * + {n} {n,m} {n,}. Byte 0 stands for the ends of a text and matches only negated classes and \\0.
+Syntax: literals, escapes (\\d \\w \\s and escaped signs), classes with ranges and negation, groups, `|`, groups
+(?i:...) in which the case of ASCII letters does not matter, and the repeats ? * + {n} {n,m} {n,}. Byte 0 stands for the ends of a text and matches only negated classes and \\0.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ class _Parser:
     """Recursive descent into nested tuples."""
 
     def __init__(self, text: str) -> None:
-        self.text, self.at = text, 0
+        self.text, self.at, self.fold = text, 0, False
 
     def peek(self) -> str:
         return self.text[self.at : self.at + 1]
@@ -65,9 +65,13 @@ class _Parser:
     def single(self) -> tuple:
         c = self.next()
         if c == "(":
+            outside = self.fold
             if self.text.startswith("?:", self.at):
                 self.at += 2
+            elif self.text.startswith("?i:", self.at):
+                self.at, self.fold = self.at + 3, True
             inner = self.choice()
+            self.fold = outside
             if not self.peek():
                 raise ValueError(f"no ) in {self.text}")
             self.next()
@@ -77,8 +81,13 @@ class _Parser:
         if c == ".":
             return ("set", _ALL - {0, 10})
         if c == "\\":
-            return ("set", self.escape())
-        return ("then", [("set", frozenset([b])) for b in c.encode()])
+            return ("set", self.folded(self.escape()))
+        return ("then", [("set", self.folded(frozenset([b]))) for b in c.encode()])
+
+    def folded(self, members: frozenset) -> frozenset:
+        if not self.fold:
+            return members
+        return members | frozenset(b ^ 32 for b in members if 65 <= b & ~32 <= 90 and b < 128)
 
     def members(self) -> frozenset:
         negated = self.peek() == "^"
@@ -97,7 +106,8 @@ class _Parser:
             else:
                 out |= set(c.encode())
         self.next()
-        return _ALL - out if negated else frozenset(out)
+        found = self.folded(frozenset(out))
+        return _ALL - found if negated else found
 
 
 class _Nfa:

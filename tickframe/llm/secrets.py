@@ -5,8 +5,8 @@ after it. One minimal automaton finds the beginnings of all rules at once; where
 takes the secret to its end, whatever its length. Secrets of a rule don't overlap: the leftmost counts, as long
 as it can be.
 
-Long texts are cut into pieces so that many run abreast: beginnings are at most `REACH` bytes long, pieces
-overlap by as much, and what two pieces find counts once. Null and empty texts hold no secrets. Places are byte
+Long texts are cut into pieces so that many run abreast: beginnings of at most `REACH` bytes are found (a name like
+secret_key_of_... may be so long with what stands up to the secret's first 8 signs), pieces overlap by as much, and what two pieces find counts once. Null and empty texts hold no secrets. Places are byte
 offsets in UTF-8. Equal rows are scanned each by itself. Extra columns don't matter; an empty table has none.
 """
 
@@ -32,7 +32,12 @@ _NOT = r"[^A-Za-z0-9_\-]"
 #: name: (sign before, beginning, rest, sign after)
 RULES = {
     "aws_access_key": (r"[^A-Za-z0-9]", r"(AKIA|ASIA|AROA|AIDA)[A-Z0-9]{16}", r"", r"[^A-Za-z0-9]"),
-    "assigned_secret": (r"[^A-Za-z0-9]", r"(password|passwd|pwd|secret|token|api_key|apikey|access_key) ?[=:] ?[\"']?[A-Za-z0-9_\-+/.]{8}", r"[A-Za-z0-9_\-+/.]*", r"[^A-Za-z0-9_\-+/.]"),
+    "assigned_secret": (
+        r"[^A-Za-z0-9]",
+        r"(?i:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key)((?i:key)?[0-9]{0,4}|[_\-][A-Za-z0-9_\-]*)(\\?[\"'])?[ \t]{0,8}[=:][ \t]{0,8}(\\?[\"'])?[A-Za-z0-9_\-+/.]{8}",
+        r"[A-Za-z0-9_\-+/.]*",
+        r"[^A-Za-z0-9_\-+/.]",
+    ),
     "github_token": (_NOT, r"gh[pousr]_[A-Za-z0-9]{36}", r"", _NOT),
     "slack_token": (_NOT, r"xox[abprs]-[A-Za-z0-9\-]{10}", r"[A-Za-z0-9\-]*", _NOT),
     "google_api_key": (_NOT, r"AIza[A-Za-z0-9_\-]{35}", r"", _NOT),
