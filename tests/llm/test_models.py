@@ -113,6 +113,18 @@ def test_extraction():
     assert text == "One long paragraph with many words in it, a comma & more of the same kind.\nAnother long paragraph\nover two lines which goes on for quite a while." and nodes > 20 and total > 0
 
 
+def test_dense_paragraph_in_a_sparse_section():
+    text = lambda c: (c * 5 + " ") * 49 + c * 5
+    paragraphs, items = [text(c) for c in "abcdefgh"], "<li><a href=x>go</a></li>" * 12
+    page = "<body><nav>" + "".join(f"<a href=x>l{i}</a>" for i in range(9)) + "</nav><article>" + "".join(f"<p>{p}</p>" for p in paragraphs) + f"<section>sparse bit<ul>{items}</ul><div><p>{text('z')} <i>all of it</i></p></div></section></article></body>"
+    tree = pages.Tree(page)
+    density = pages.densities(tree)[0]
+    limit = min(density[tree.tag.index("article")], density[tree.tag.index("body")])
+    last = max(i for i, tag in enumerate(tree.tag) if tag == "p")
+    assert density[tree.tag.index("section")] < limit < density[last]
+    assert pages.main_text(page)[0].split("\n") == [*paragraphs, text("z") + " all of it"]
+
+
 @pytest.mark.parametrize(
     "source, expected",
     [("", ""), ("   ", ""), ("just text", "just text"), ("<p>a<script>var x = '</p>';</script><!-- b --><style>c</style>", "a"), ("</div></p><p>x", "x"), ("<p title='a>b'>y</p", "y"), ("<![CDATA[z]]><p>t", "t"), ("<p>&lt;b&gt; &nbsp;e</p>", "<b> e"), ("<textarea>raw<p></textarea>", ""), ("<a>only a link</a>", "only a link")],

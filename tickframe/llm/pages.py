@@ -6,7 +6,7 @@ node C counts its characters, T its tags, LC and LT those within links; with the
 density is C/T * log_b(C*T / (LC*LT)) with b = ln(C*LC/(C-LC) + LC_body*C/C_body + e), where counts of nothing
 count as 1. A node's density sum adds up the densities of its children. The node of the largest sum is taken;
 the threshold is the smallest density on the path from it to the body, and of its subtree every node of at
-least that density counts, with all that it holds, as do its own bits of text.
+least that density counts, with all that it holds, as do its own bits of text; nodes below the threshold are searched for such nodes.
 
 A page whose nodes have no text at all gives an empty text. Null pages give null, empty pages an empty text;
 without a body the root takes its place. Ties go to the node that comes first. Nesting may be of any depth, as
@@ -143,10 +143,15 @@ def main_text(source: str | None) -> tuple[str, int, float] | None:
         if up == body:
             break
         up = tree.parent[up]
+    holds = [False] * len(tree.tag)  # is dense enough, or something in it is
+    for i in range(len(tree.tag) - 1, best, -1):
+        holds[i] = bool(chars[i]) and (holds[i] or density[i] >= limit)
+        if holds[i]:
+            holds[tree.parent[i]] = True
     out: list[str] = []
-    todo: list = [(best, 0)]
+    todo: list = [(best, 0, False)]
     while todo:
-        node, k = todo.pop()
+        node, k, whole = todo.pop()
         parts = tree.parts[node]
         if k == 0 and tree.tag[node] in _BLOCK:
             out.append("\n")
@@ -154,11 +159,11 @@ def main_text(source: str | None) -> tuple[str, int, float] | None:
             part = parts[k]
             k += 1
             if isinstance(part, str):
-                out.append(_BLANK.sub(" ", part))
+                out.append(_BLANK.sub(" ", part) if whole or node == best else " ")
             elif tree.tag[part] == "br":
                 out.append("\n")
-            elif chars[part] and tree.tag[part] not in _SILENT and (density[part] >= limit or node != best):
-                todo += [(node, k), (part, 0)]
+            elif chars[part] and tree.tag[part] not in _SILENT and (whole or holds[part]):
+                todo += [(node, k, whole), (part, 0, whole or density[part] >= limit)]
                 break
         else:
             if tree.tag[node] in _BLOCK:
