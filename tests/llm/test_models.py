@@ -290,6 +290,20 @@ def test_personal_data_is_found_and_the_rest_left(spark):
     assert len(got & expected) / len(expected) > 0.97 and len(got & expected) / len(got) > 0.97
 
 
+def test_persons_beyond_the_given_names(spark):
+    people = ["Dr. Ahmed Khan", "Mrs Emma Wilson", "contact: Yuki Tanaka", "Mr Smith", "name: Siobhan O'Neill", "Dr. Ludwig\nvan Beethoven", "Mary  Jones", "Prof. Jean-Luc Picard", "Ms. Zoë J. Ångström"]
+    names = ["Ahmed Khan", "Emma Wilson", "Yuki Tanaka", "Smith", "Siobhan O'Neill", "Ludwig\nvan Beethoven", "Mary  Jones", "Jean-Luc Picard", "Zoë J. Ångström"]
+    texts = [f"we saw that {p} was there" for p in people]
+    spans = [[t[c["start"] : c["stop"]] for c in pii.candidates(t) if c["kind"] == pii.KINDS.index("person")] for t in texts]
+    assert spans == [[n] for n in names]
+    gazetteer = {n: pii.gazetteer(n) for n in ("Mary Jones", "Yuki Tanaka", "Oxford University")}
+    assert gazetteer == {"Mary Jones": 2, "Yuki Tanaka": 0, "Oxford University": 1}
+    assert not pii.candidates("We left. It was late, and Nobody came.") and len(pii.candidates("mail Ann.Lee@mail.example.com now")) == 1
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, f"we met near Harbour Street {w} where Silent Meadows begin") for i, w in enumerate("abcdefghijklmnopqrst")] + [(200, "write to jo.do@mail.example.com or to u.x@mail.example.org")]
+    got = {(r.doc_id, texts[r.doc_id][r.start : r.stop]) for r in pii.personal(spark.createDataFrame(rows, DOC)).where("kind = 'person'").collect() if r.doc_id < 100 or pytest.fail(str(r))}
+    assert got == set(enumerate(names))
+
+
 def test_em_finds_the_unreliable_labeler():
     rng = np.random.default_rng(5)
     truth = rng.random(4000) < 0.4

@@ -1,7 +1,9 @@
 """Personal data by weak supervision: labelers vote on candidate spans, EM weighs them, a classifier decides.
 
 Candidates are runs that look like e-mail addresses, IP addresses, bank accounts, phone, card and identity
-numbers, other numbers, and a given name with a name after it. Regex, checksum, gazetteer and context labelers
+numbers, other numbers, and persons: runs of two or more capitalised words, with initials and particles, or of one
+after a title or contact word; blanks and a line break may part them. Names in capitals or small letters only
+are no candidates. The context labeler says no to a run without given name, title or contact word. Regex, checksum, gazetteer and context labelers
 each say yes, no or nothing to a candidate. `reliabilities` fits, by expectation-maximisation over the counts of
 all vote patterns in the corpus, how often each labeler says what of personal data and of other spans, and how
 common personal data is in each kind. A logistic classifier over the span's shape and its neighbour words is
@@ -44,9 +46,22 @@ _CANDIDATE = re.compile(
     r"|(?<!\w)(?P<card>\d{4}(?:[ \-]\d{4}){3}|\d{13,19})(?!\w)"
     r"|(?<!\w)(?P<identity>\d{3}-\d{2}-\d{4})(?!\w)"
     r"|(?<!\w)(?P<number>\d+(?:[.,:/\-]\d+)*)"
-    r"|\b(?P<person>(?:" + "|".join(GIVEN) + r")(?: [A-Z]\.)? [A-Z][a-zà-ÿ]+)"
 )
-_MAYBE = "[0-9@]|" + "|".join(GIVEN)
+_MAYBE = "[0-9@]"
+_NAME = r"[A-ZÀ-ÖØ-ÞŁŚŻŽŠČ](?<!\w.)(?:['’][A-ZÀ-ÖØ-Þ])?[a-zß-öø-ſ]+(?:[A-Z][a-zß-öø-ſ]+)?(?:[\-'’][A-ZÀ-ÖØ-Þ][a-zß-öø-ſ]+)*(?!\w)"
+_GAP = r"(?:[ \t\xa0]+(?:\r?\n[ \t]*)?|\r?\n[ \t]*)"
+_RUN = re.compile(rf"{_NAME}(?:{_GAP}(?:(?:(?:van|von|der|den|de|la|del|di|da|dos|bin|al|el|y){_GAP}){{0,3}}{_NAME}|[A-Z]\.(?!\w)))*")
+_CAPITAL = r"\p{Lu}['’]?\p{L}*\p{Ll}"
+_PART = re.compile(r"[^\s]+")
+_TITLES = frozenset("mr mrs ms miss mx dr prof sir dame herr frau señor señora sr sra monsieur madame mme name contact".split())
+_GIVEN = frozenset(g.lower() for g in GIVEN)
+#: Words that begin sentences or name places, times, offices and works, not persons.
+_COMMON = frozenset(
+    "the a an in on at by for from to of and or but if as it its this that these those he she we they you i his her our their there here when where while what who how why after before since with without all some many most no not yes new "
+    "der die das ein eine im am und oder aber wenn als es er sie wir ist nicht le les un une des du et mais si il elle nous vous ce cette dans pour los las una unos en con por para pero que se su "
+    "january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday "
+    "street road avenue university college school institute company inc corp ltd gmbh license public general united states kingdom north south east west city river lake mount chapter section figure table page version copyright rights reserved privacy policy terms".split()
+)
 _YES = frozenset("phone tel telephone call mobile fax email mail contact ssn card visa mastercard ip address iban account mr mrs ms dr name teléfono correo téléphone telefon".split())
 _NO = frozenset("version v release chapter page pages section figure table line step licensed license lizenz licencia licence isbn part no".split())
 _DATE = re.compile(r"(?:\d{4}[/\-.]\d{1,2}[/\-.]\d{1,2}|\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}|\d{1,2}:\d{2}(?::\d{2})?)$")
@@ -65,6 +80,31 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def given(span: str) -> bool:
+    return any(w in _GIVEN for w in _WORD.findall(span.lower()))
+
+
+def gazetteer(span: str) -> int:
+    """Of a person: yes for a given name, no for a word that isn't a name's, else nothing."""
+    return 2 if given(span) else 1 if any(w in _COMMON or w in _NO for w in _WORD.findall(span.lower())) else 0
+
+
+def persons(text: str) -> Iterator[tuple[int, int]]:
+    """Places of the name-like runs; titles, contact words and common words before them don't belong to them."""
+    for m in _RUN.finditer(text):
+        begin, end = m.span()
+        titled, parts = None, [(p.start() + begin, p.group()) for p in _PART.finditer(m.group())]
+        while parts and ((word := parts[0][1].lower().rstrip(".")) in _TITLES or word in _YES or word in _COMMON):
+            titled = word in _TITLES or word in _YES
+            parts = parts[1:]
+        if titled is None and parts:
+            before = text[max(0, begin - 16) : begin].rstrip(" \t\xa0\r\n")
+            last = re.search(r"[^\W\d_]+(?=[.:]?$)", before)
+            titled = last is not None and last.group().lower() in _TITLES
+        if len(parts) > 1 or parts and titled:
+            yield parts[0][0], end
+
+
 def votes(kind: str, span: str, before: list[str], after: list[str]) -> list[int]:
     """Of each labeler 0 for nothing, 1 for no, 2 for yes."""
     digits = re.sub(r"\D", "", span)
@@ -83,13 +123,15 @@ def votes(kind: str, span: str, before: list[str], after: list[str]) -> list[int
     if kind == "email":
         out[2] = 2 if span.rsplit(".", 1)[1].lower() in ENDINGS else 1
     elif kind == "person":
-        out[2] = 2
+        out[2] = gazetteer(span)
     elif kind == "phone" and span.startswith("+"):
         out[2] = 2 if digits[:1] in "12345679" else 1
     if any(w in _NO for w in before[-2:]):
         out[3] = 1
-    elif any(w in _YES for w in before[-4:]):
+    elif any(w in _YES for w in before[-4:]) or kind == "person" and any(w in _TITLES for w in before[-2:]):
         out[3] = 2
+    elif kind == "person" and not given(span):
+        out[3] = 1  # bare capitals; a labeler that never said no would weigh nothing
     if any(w in _YES for w in after[:1]):
         out[4] = 2
     if digits and kind != "email":
@@ -109,11 +151,17 @@ def hashed(*names: str) -> list[int]:
 
 
 def candidates(text: str) -> list[dict]:
-    out = []
-    for m in _CANDIDATE.finditer(text):
-        kind, (start, stop) = m.lastgroup or "", m.span()
-        span = m.group().rstrip(".-")
-        stop = start + len(span)
+    places, out = [], []
+    for m in _CANDIDATE.finditer(text) if re.search(_MAYBE, text) else ():
+        places.append((m.start(), m.start() + len(m.group().rstrip(".-")), m.lastgroup or ""))
+    taken, at = places[:], 0
+    for start, stop in persons(text):
+        while at < len(taken) and taken[at][1] <= start:
+            at += 1
+        if at == len(taken) or taken[at][0] >= stop:
+            places.append((start, stop, "person"))
+    for start, stop, kind in sorted(places):
+        span = text[start:stop]
         before = [w.lower() for w in _WORD.findall(text[max(0, start - 60) : start])]
         after = [w.lower() for w in _WORD.findall(text[stop : stop + 40])]
         v = 0
@@ -121,7 +169,7 @@ def candidates(text: str) -> list[dict]:
             v = v * 3 + x
         digits = sum(c.isdigit() for c in span)
         names = ("bias", f"kind {kind}", f"shape {kind} {shape(span)}", f"digits {kind} {min(digits, 20)}", f"before {before[-1] if before else ''}", f"after {after[0] if after else ''}")
-        checked = f"check {kind} {luhn(re.sub(r'[^0-9]', '', span)) if kind == 'card' else all(int(x) < 256 for x in span.split('.')) if kind == 'ip' else ''}"
+        checked = f"check {kind} {luhn(re.sub(r'[^0-9]', '', span)) if kind == 'card' else all(int(x) < 256 for x in span.split('.')) if kind == 'ip' else gazetteer(span) if kind == 'person' else ''}"
         out.append({"kind": KINDS.index(kind), "start": start, "stop": stop, "votes": v, "features": hashed(*names, checked)})
     return out
 
@@ -130,7 +178,7 @@ def candidates(text: str) -> list[dict]:
 def spanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("votes", pa.int32()), ("features", pa.list_(pa.int32()))]))
     for batch in batches:
-        maybe = pc.fill_null(pc.match_substring_regex(batch, _MAYBE), False).to_numpy(zero_copy_only=False)
+        maybe = pc.fill_null(pc.match_substring_regex(batch, f"{_MAYBE}|{_CAPITAL}"), False).to_numpy(zero_copy_only=False)
         found: list[list[dict]] = [[] for _ in range(len(batch))]
         for i in np.flatnonzero(maybe).tolist():
             found[i] = candidates(batch[i].as_py())
