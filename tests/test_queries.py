@@ -64,12 +64,47 @@ def test_positions_and_totals_over_several_partitions(spark):
     assert total == {k: k * (k + 1) // 2 for k in range(1000)}
 
 
+@pytest.mark.parametrize("partitions, adaptive", [(8, True), (3, True), (8, False)])
+def test_a_million_rows_with_a_payload_keep_every_row(spark, tmp_path, partitions, adaptive):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        n = 1_000_000
+        df = spark.range(0, n, 1, 6).selectExpr("(id * 7919) % 1000000 as k", "concat('payload ', id) as payload", "id")
+        got = ordered.positions(df, ["k"], descending=True)
+        row = got.agg(F.count("payload"), F.count_distinct("pos"), F.sum((F.col("pos") != n - F.col("k")).cast("int"))).first()
+        assert tuple(row) == (n, n, 0)
+        got.write.parquet(str(tmp_path / "p"))
+        assert spark.read.parquet(str(tmp_path / "p")).count() == n
+        total = ordered.running_total(df, F.col("k"), ["k"])
+        assert len(total.select("k", "payload", "total").toPandas()) == n
+        assert total.where("total <> k * (k + 1) div 2").count() == 0
+        assert {r.p: r.q for r in stats.quantiles(df, "k", (0.25, 0.5), 7).collect()} == {0.25: 249999.75, 0.5: 499999.5}
+        backwards = ordered.reversed_pairs(df, ["k"], "payload")
+        assert backwards.count() == n and backwards.where("i = 1").first().payload == df.where("k = 999999").first().payload
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_averages_are_not_rounded_and_pass_over_nulls(spark):
+    df = spark.createDataFrame([(1, 0.004), (2, 0.001), (3, None), (4, 1e-9)], "i int, v double")
+    got = [(r.m, r.a) for r in df.select("i", ordered.moving_average(df.v, 2, [], ["i"]).alias("m"), ordered.running_average(df.v, [], ["i"]).alias("a")).orderBy("i").collect()]
+    assert got == [(0.004, 0.004), (0.0025, 0.0025), (0.001, 0.0025), (1e-9, pytest.approx(0.005000001 / 3))]
+
+
+def test_medians_of_groups(spark):
+    df = spark.createDataFrame([("a", 3.0), ("a", 1.0), ("a", None), ("b", 2.0), ("b", 2.0), ("b", 7.0), ("c", None)], "g string, v double")
+    assert {r.g: r.med for r in stats.medians(df, ["g"], "v").collect()} == {"a": 2.0, "b": 2.0, "c": None}
+
+
 @pytest.mark.parametrize("method", [4, 5, 6, 7, 8, 9])
 def test_quantiles(spark, method):
     values = [3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0, 6.0]
     df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
     n, s = len(values), sorted(values)
-    for p, q in ((r.p, r.q) for r in stats.quantiles(df, "v", "i", (0.0, 0.1, 0.5, 0.9, 1.0), method).collect()):
+    for p, q in ((r.p, r.q) for r in stats.quantiles(df, "v", (0.0, 0.1, 0.5, 0.9, 1.0), method).collect()):
         a, b = {4: (0, 0), 5: (0.5, 0), 6: (0, 1), 7: (1, -1), 8: (1 / 3, 1 / 3), 9: (0.375, 0.25)}[method]
         h = min(max(a + p * (n + b), 1), n)
         lo = math.floor(h)

@@ -1,7 +1,7 @@
 """Operators on vectors, which have an order: every one takes the partition and the order explicitly.
 
 Over a partition they are windows. Where a vector has no partition, `positions` and `running_total` number and
-add up whole tables in two passes over ranges of the order instead of pulling everything into one task.
+add up whole tables by ranges of the order, written once, instead of pulling everything into one task.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..scratch import cut
+
 
 def over(by: Sequence[str], order: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(*order)
@@ -31,43 +33,63 @@ def differ(x: Column, w: WindowSpec) -> Column:
     return ~x.eqNullSafe(F.lag(x).over(w))
 
 
-def cents(x: Column) -> Column:
-    return F.round(x * 100).cast("bigint")
-
-
 def moving_average(x: Column, n: int, by: Sequence[str], order: Sequence[str]) -> Column:
-    """Mean of up to n values, in whole hundredths, so that it doesn't depend on the order of addition."""
-    w = over(by, order).rowsBetween(1 - n, 0)
-    return F.sum(cents(x)).over(w) / (F.lit(100.0) * F.count(F.lit(1)).over(w))
+    """Mean of up to n values; nulls count neither above nor below the line."""
+    return F.avg(x).over(over(by, order).rowsBetween(1 - n, 0))
 
 
 def running_average(x: Column, by: Sequence[str], order: Sequence[str]) -> Column:
-    w = upto(by, order)
-    return F.sum(cents(x)).over(w) / (F.lit(100.0) * F.count(F.lit(1)).over(w))
+    return F.avg(x).over(upto(by, order))
+
+
+def _keys(order: Sequence[str], descending: bool = False) -> list[Column]:
+    return [F.col(f"`{c}`").desc() if descending else F.col(f"`{c}`").asc() for c in order]
+
+
+def _parted(df: DataFrame, order: Sequence[str], descending: bool, part: str) -> DataFrame:
+    """df in ranges of the order, each sorted, under their numbers. A second evaluation may draw other ranges, so
+    whoever needs the numbers twice cuts the lineage in between."""
+    keys = _keys(order, descending)
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(part, F.spark_partition_id())
+
+
+def _before(sums: DataFrame, part: str, name: str) -> DataFrame:
+    """(part, name): what all parts before a part add up to. One row a part, so that one task does."""
+    w = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(sums.select(part, F.coalesce(F.sum(name).over(w), F.lit(0)).alias(name)))
 
 
-def _ranged(df: DataFrame, order: Sequence[str], descending: bool) -> DataFrame:
-    keys = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    return df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id())
+def _unused(df: DataFrame, *names: str) -> list[str]:
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def positions(df: DataFrame, order: Sequence[str], name: str = "pos", start: int = 1, descending: bool = False) -> DataFrame:
-    """df numbered in the order (which must tell all rows apart) without a global sort in one task."""
-    ranged = _ranged(df, order, descending)
-    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = sizes.select("__part", (F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__before"))
-    keys = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
-    return ranged.withColumn("__row", inside).join(offsets, "__part").withColumn(name, (F.col("__before") + F.col("__row") - 1 + start).cast("bigint")).drop("__part", "__row", "__before")
+    """df numbered in the order (which must tell all rows apart) without a global sort in one task: one shuffle into
+    ranges, written once with each row's place in its range, and the sizes of the ranges added up."""
+    part, row, before = _unused(df, "__part", "__row", "__before")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = cut(_parted(df, order, descending, part).withColumn(row, place))
+    sizes = ranged.groupBy(part).agg(F.count(F.lit(1)).alias(before))
+    numbered = ranged.join(_before(sizes, part, before), part)
+    return numbered.withColumn(name, (F.col(before) + F.col(row) + start).cast("bigint")).drop(part, row, before)
 
 
 def running_total(df: DataFrame, x: Column, order: Sequence[str], name: str = "total") -> DataFrame:
-    """df with the sum of x up to each row of the order, in two passes like positions."""
-    ranged = _ranged(df.withColumn("__x", x), order, False)
-    sums = ranged.groupBy("__part").agg(F.sum("__x").alias("__s"))
-    offsets = sums.select("__part", F.coalesce(F.sum("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inside = F.sum("__x").over(upto(["__part"], order))
-    return ranged.withColumn("__in", inside).join(offsets, "__part").withColumn(name, F.col("__before") + F.col("__in")).drop("__part", "__in", "__before", "__x")
+    """df with the sum of x up to each row of the order, like positions: totals within ranges are written once, those
+    of the ranges before come on top."""
+    part, value, inside, before = _unused(df, "__part", "__x", "__in", "__before")
+    parted = _parted(df.withColumn(value, x), order, False, part)
+    w = Window.partitionBy(part).orderBy(*_keys(order)).rowsBetween(Window.unboundedPreceding, 0)
+    ranged = cut(parted.withColumn(inside, F.sum(value).over(w)))
+    sums = ranged.groupBy(part).agg(F.sum(value).alias(before))
+    summed = ranged.join(_before(sums, part, before), part)
+    return summed.withColumn(name, F.col(before) + F.col(inside)).drop(part, value, inside, before)
 
 
 def reversed_pairs(df: DataFrame, order: Sequence[str], value: str, position: str = "i") -> DataFrame:
