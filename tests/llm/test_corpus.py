@@ -98,13 +98,15 @@ def test_repetition_keeps_prose_and_rejects_loops(spark, docs):
     assert quality.reject(bad).count() == 0
 
 
-@pytest.mark.parametrize("target", [1 << 40, 20_000, 3_000, 500])
-def test_sharding_agrees_with_sql(docs, target):
-    out, count = shard.assign(docs, target)
-    agrees(out, shard.oracle(target), docs)
+@pytest.mark.parametrize("target, least", [(1 << 40, 1), (20_000, 1), (3_000, 1), (500, 1), (shard.TARGET, shard.SHARDS)])
+def test_sharding_agrees_with_sql(docs, target, least):
+    out, count = shard.assign(docs, target, least=least)
+    agrees(out, shard.oracle(target, least), docs)
+    target = shard.aim(docs.agg(F.sum(F.octet_length("text"))).first()[0], target, least)
+    assert count >= 0.8 * least
     sizes = [r.b for r in out.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b")).collect()]
     assert len(sizes) <= count and max(sizes) <= max(1.25 * target, target + 2000)
-    joined, again = shard.assign(docs, target, local=0)
+    joined, again = shard.assign(docs, target, least=least, broadcast=-1)
     assert again == count and sorted(map(tuple, joined.select("doc_id", "shard").collect())) == sorted(map(tuple, out.select("doc_id", "shard").collect()))
 
 
@@ -116,6 +118,19 @@ def test_shards_are_partitions_in_key_order(docs):
     assert all(x.b < y.a for x, y in zip(keyed, keyed[1:]))
 
 
+def test_many_shards_share_partitions_in_order(docs, tmp_path):
+    out = shard.sharded(docs, 100, least=1)
+    parts = out.select("shard", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i")).orderBy("i").collect()
+    count = out.agg(F.max("shard")).first()[0] + 1
+    assert len({(r.shard, r.p) for r in parts}) == len({r.shard for r in parts}) == count > shard.SPREAD**2
+    assert len({r.p for r in parts}) < count and [r.shard for r in parts] == sorted(r.shard for r in parts)
+
+
+def test_one_huge_key_does_not_widen_the_others(spark):
+    df = spark.createDataFrame([(i, "x" * 50, "en", "s" * (2_000_000 if i == 3 else 1), 0) for i in range(2000)], SCHEMA)
+    assert shard.assign(df, 1000, least=1)[0].agg(F.count_distinct("shard")).first()[0] > 50
+
+
 def test_mixing_agrees_with_sql_and_has_its_size(docs):
     out = mixing.allocate(docs)
     agrees(out, mixing.oracle(), docs)
@@ -215,16 +230,16 @@ def brute_distance(item, text):
 
 def test_leaks_against_brute_force(spark):
     rng = random.Random(11)
-    items = [prose(rng, n) for n in (5, 8, 15, 20, 33, 60)]
+    items = [prose(rng, n) for n in (1, 3, 5, 8, 15, 20, 33, 60)]
     texts = []
     for i in range(90):
         w = prose(rng, 70).split()
         if i % 3:
-            item = items[i % 6].split()
+            item = items[i % 8].split()
             w[30:30] = edited(rng, item, rng.randint(0, decontam.budget(len(item)) + 2))
         texts.append(" ".join(x.title() if rng.random() < 0.2 else x + rng.choice(["", ".", ",\n"]) for x in w))
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
-    benchmark = spark.createDataFrame([*enumerate(items), (98, "too few"), (99, None), (None, "")], "item_id bigint, text string")
+    benchmark = spark.createDataFrame([*enumerate(items), (98, "too few words"), (99, None), (None, "")], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id): r.distance for r in decontam.leaks(df, benchmark).collect()}
     import re
 
@@ -236,6 +251,14 @@ def test_leaks_against_brute_force(spark):
     assert {r.doc_id for r in decontam.clean(df, benchmark).collect()} == set(range(90)) - {i for i, _ in got}
 
 
+def test_short_items_and_scripts_without_blanks(spark):
+    han = "深度学习模型在大规模语料上训练之后可以回答许多问题"
+    texts = ["he wrote that time flies like an arrow does", "time flies like a bird", "前言。" + han + "。结尾", han[:8], "前言" + han[:12] + "的" + han[13:] + "完"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    benchmark = spark.createDataFrame([(1, "Time flies like an arrow"), (2, han), (3, "arrow"), (4, "...")], "item_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in decontam.leaks(df, benchmark).collect()) == [(0, 1, 0), (0, 3, 0), (2, 2, 0), (4, 2, 1)]
+
+
 def test_a_large_benchmark_goes_in_blocks(docs, spark, monkeypatch):
     some = docs.limit(5).select(F.col("doc_id").alias("item_id"), "text")
     whole = sorted(map(tuple, decontam.leaks(docs, some).collect()))

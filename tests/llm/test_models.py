@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -156,6 +157,111 @@ def test_density_matches_its_formula():
     assert total[div] == pytest.approx(density[tree.tag.index("b")] + density[tree.tag.index("a")])
 
 
+def by_definition(source):
+    """(text nodes taken, density sum) by recursion over a tree of another parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.root = self.at = {"tag": "#root", "up": None, "in": []}
+
+        def handle_starttag(self, tag, attrs):
+            node = {"tag": tag, "up": self.at, "in": []}
+            self.at["in"].append(node)
+            self.at = node
+
+        def handle_endtag(self, tag):
+            assert self.at["tag"] == tag
+            self.at = self.at["up"]
+
+        def handle_data(self, data):
+            self.at["in"].append(data)
+
+    reader = Reader()
+    reader.feed(source)
+
+    def measure(node, linked):
+        linked = linked or node["tag"] == "a"
+        c = lc = t = lt = 0
+        for x in node["in"]:
+            if isinstance(x, str):
+                n = len(" ".join(x.split()))
+                c, lc = c + n, lc + n * linked
+            else:
+                a, b, d, e = measure(x, linked)
+                c, lc, t, lt = c + a, lc + b, t + d + 1, lt + e + (x["tag"] == "a")
+        node["m"] = (c, lc, t, lt)
+        return c, lc, t, lt
+
+    measure(reader.root, False)
+    body = next(x for x in reader.root["in"][0]["in"] if x["tag"] == "body")
+    ratio = body["m"][1] / max(body["m"][0], 1)
+
+    def density(node):
+        c, lc, t, lt = node["m"]
+        if not c:
+            return 0.0
+        base = np.log(c * lc / max(c - lc, 1) + ratio * c + np.e)
+        return c / max(t, 1) * max(np.log(c * max(t, 1) / (max(lc, 1) * max(lt, 1))) / (np.log(base) if base > 1.0001 else 1), 0.0)
+
+    def nodes(node):
+        return [node, *(y for x in node["in"] if not isinstance(x, str) for y in nodes(x))]
+
+    total = {id(x): sum(density(y) for y in x["in"] if not isinstance(y, str)) for x in nodes(body)}
+    best = max(nodes(body), key=lambda x: round(total[id(x)], 9))
+    limit, up = density(best), best
+    while up is not body:
+        up = up["up"]
+        limit = min(limit, density(up))
+
+    def texts(node, whole):
+        out = []
+        for x in node["in"]:
+            if isinstance(x, str):
+                out += [x] if whole or node is best else []
+            else:
+                out += texts(x, whole or density(x) >= limit)
+        return out
+
+    return texts(best, False), total[id(best)]
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_extraction_against_its_definition(seed):
+    rng, made = random.Random(seed), iter(range(10_000))
+
+    def grown(depth):
+        if depth > 3 or rng.random() < 0.25:
+            return " ".join(f"t{next(made)}" + "x" * rng.randint(0, 9) for _ in range(rng.choice([1, 3, 30, 80])))
+        tag = rng.choice(["div", "div", "section", "span", "a", "b"])
+        return f"<{tag}>" + "".join(grown(depth + 1) for _ in range(rng.randint(1, 4))) + f"</{tag}>"
+
+    source = "<html><body>" + "".join(f"<div>{grown(1)}</div>" for _ in range(5)) + "</body></html>"
+    kept, total = by_definition(source)
+    text, _, found = pages.main_text(source)
+    assert found == pytest.approx(total, abs=1e-5)
+    assert re.findall(r"t\d+x*", text) == re.findall(r"t\d+x*", " ".join(kept))
+
+
+@pytest.mark.parametrize("part", ["<span>", '<a href="x>', "<a href='", "</b>", "<h1>", "<span>x</b><p>", "<li><span>", '<a "">'])
+def test_reading_a_megabyte_takes_linear_time(part):
+    took = []
+    for n in (250_000, 1_000_000):
+        began = time.process_time()
+        pages.main_text(part * (n // len(part)) + '" > ')
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 1
+
+
+def test_ties_go_to_the_node_that_comes_first():
+    half = "<div><p>" + "same words again and again " * 5 + "</p></div>"
+    text, _, _ = pages.main_text(f"<html><body><section>{half}</section></body></html>")
+    assert text.count("same") == 5
+    a, b = (f"<section><p>{w} one two three four five six</p></section>" for w in ("aa", "bb"))
+    assert pages.main_text(f"<body><div>{a}</div><div>{b}</div></body>")[0].startswith("aa")
+
+
 def test_chats(spark):
     rows = [
         (1, 0, "u", "Hello all. The build is broken on main today.\nPlease look."), (1, 1, "b", "I can look after lunch. Which job fails?"),

@@ -1,7 +1,8 @@
 """Benchmark decontamination: passages of benchmark items in documents, up to a share of edited words.
 
-Words are lower-case runs of letters and digits. A document holds an item of m words if one of its runs of
-words is at a word edit distance of `EDITS` * m (rounded down) from it at most.
+Words are lower-case runs of letters and digits; kana and Han characters, which no blanks part, are words by
+themselves. A document holds an item of m words if one of its runs of words is at a word edit distance of
+`EDITS` * m (rounded down) from it at most, so an item of up to 6 words only if it is there word for word.
 
 Search: with k edits at most, one of any k+1 words of the item stands untouched, so the k+1 rarest words of its
 first half are its anchors, and a window that reaches as far as the item does is laid wherever a document has
@@ -12,10 +13,11 @@ times, enough for `RECALL` of the windows in which a symbol of the embedding dif
 `DIFFER`. Keys are drawn for classes of window lengths, each twice as long as the one before. Candidates are
 verified by the exact edit distance of the whole item to any run of words around the window.
 
-Documents without words hold nothing; items of fewer than `SHORTEST` words are not searched, as they identify
-nothing. Equal items are all reported, equal rows each by itself. Null item ids are reported as null. Items are
-sent to the executors in blocks of about `BLOCK` bytes, one pass over the documents each, so a benchmark may
-be of any size. Extra columns pass through; an empty table or an empty benchmark gives no matches.
+Documents without words hold nothing, and items without words are in no document; every other item is searched,
+however short. Equal items are all reported, equal rows each by itself. Null item ids are reported as null. The index
+of the items is built once and broadcast in blocks of about `BLOCK` bytes of text, one pass over the documents
+each, so a benchmark may be of any size. Extra columns pass through; an empty table or an empty benchmark gives no
+matches.
 """
 
 from __future__ import annotations
@@ -26,20 +28,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import WORD_BYTES, Rolling, column, fresh, mix, pieces, word_hashes, words
+from .text import HAN_BYTES, WORD_BYTES, Rolling, column, fresh, mix, pieces, word_hashes, words
 
 EDITS = 0.15
-SHORTEST = 5
 SAMPLED = 3
 RECALL = 0.95
 DIFFER = 0.4
 BLOCK = 16 << 20
 _END = np.uint64(0x5BF0A8B1457695F5)
-_MATCH = T.ArrayType(T.StructType([T.StructField("item", T.IntegerType()), T.StructField("distance", T.IntegerType()), T.StructField("start", T.IntegerType())]))
+_MATCH = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("distance", T.IntegerType()), T.StructField("start", T.IntegerType())]))
 
 
 def repeats() -> int:
@@ -84,7 +85,7 @@ class Items:
         rolling, self.codes = Rolling(), []
         lengths: dict[int, int] = {}
         for _, data, offsets in pieces(pc.utf8_lower(pa.array(texts, pa.large_string()))):
-            start, end, owner = words(data, offsets, WORD_BYTES)
+            start, end, owner = words(data, offsets, WORD_BYTES, HAN_BYTES)
             codes = word_hashes(rolling, data, start, end)
             lengths |= zip(codes.tolist(), (end - start).tolist())
             self.codes += [codes[owner == i] for i in range(len(offsets) - 1)]
@@ -93,7 +94,7 @@ class Items:
         entries = []
         for i, codes in enumerate(self.codes):
             m = len(codes)
-            if m >= SHORTEST:
+            if m:
                 k = budget(m)
                 half = range(max(k + 1, -(-m // 2)))
                 rare = sorted(half, key=lambda j: (often[int(codes[j])], -lengths[int(codes[j])], j))
@@ -135,7 +136,7 @@ class Items:
     def matches(self, rolling: Rolling, data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int, int]]]:
         """For each text (item, distance, index of the word where the window around the passage begins)."""
         out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(offsets) - 1)]
-        start, end, owner = words(data, offsets, WORD_BYTES)
+        start, end, owner = words(data, offsets, WORD_BYTES, HAN_BYTES)
         if not len(start) or not len(self.anchors):
             return out
         codes = word_hashes(rolling, data, start, end)
@@ -182,26 +183,28 @@ def blocks(benchmark: DataFrame) -> Iterator[tuple[list[int | None], list[str |
     """Ids and texts of the items, in blocks of about `BLOCK` bytes."""
     size = benchmark.agg(F.sum(F.octet_length(column(benchmark, "text")))).first()[0] or 0
     count = max(1, -(-size // BLOCK))
-    rows = benchmark.select(column(benchmark, "item_id").alias("i"), column(benchmark, "text").alias("t"))
+    rows = benchmark.select(column(benchmark, "item_id").cast("bigint").alias("i"), column(benchmark, "text").alias("t"))
     for b in range(count):
         some = rows if count == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == b)
         found = some.orderBy("i", "t").toArrow()
         yield found["i"].to_pylist(), found["t"].to_pylist()
 
 
-def matcher(texts: list[str | None]):
-    """UDF: matches of a text with the items of these texts."""
+def matcher(spark: SparkSession, ids: list[int | None], texts: list[str | None]):
+    """UDF: matches of a text with the items of these texts. Their index is built here, once, and broadcast."""
+    sent = spark.sparkContext.broadcast((Items(texts), pa.array(ids, pa.int64())))
 
     @F.arrow_udf(_MATCH)
     def matched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        items, rolling = Items(texts), Rolling()
+        (items, names), rolling = sent.value, Rolling()
         for batch in batches:
             out = []
             for _, data, offsets in pieces(pc.utf8_lower(batch)):
                 out += items.matches(rolling, data, offsets)
             flat = np.array([m for ms in out for m in ms], np.int32).reshape(-1, 3)
             ends = np.r_[0, np.cumsum([len(ms) for ms in out])].astype(np.int32)
-            fields = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, i])) for i in range(3)], ["item", "distance", "start"])
+            rest = [pa.array(np.ascontiguousarray(flat[:, i])) for i in (1, 2)]
+            fields = pa.StructArray.from_arrays([names.take(pa.array(np.ascontiguousarray(flat[:, 0]))), *rest], ["item_id", "distance", "start"])
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), fields)
 
     return matched.asNondeterministic()  # else a filter on its result would run it twice
@@ -210,21 +213,18 @@ def matcher(texts: list[str | None]):
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, distance and start (the word where the passage's window begins), one row for each item
     that a row of docs holds."""
-    parts = []
+    out = None
     for ids, texts in blocks(benchmark):
-        found = docs.select(column(docs, "doc_id").alias("doc_id"), F.explode(matcher(texts)(column(docs, "text"))).alias("m"))
-        name = F.element_at(F.array(*(F.lit(i).cast("bigint") for i in ids)), F.col("m")["item"] + 1) if ids else F.lit(None).cast("bigint")
-        parts.append(found.select("doc_id", name.alias("item_id"), F.col("m")["distance"].alias("distance"), F.col("m")["start"].alias("start")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        match = matcher(docs.sparkSession, ids, texts)
+        found = docs.select(column(docs, "doc_id").alias("doc_id"), F.explode(match(column(docs, "text"))).alias("m")).select("doc_id", "m.*")
+        out = found if out is None else out.unionByName(found)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold an item."""
-    out = docs
+    out, text = docs, column(docs, "text")
     (name,) = fresh(docs, "leaks")
-    for _, texts in blocks(benchmark):
-        out = out.withColumn(name, matcher(texts)(column(docs, "text"))).where(F.size(F.col(name)) == 0).drop(name)
+    for ids, texts in blocks(benchmark):
+        out = out.withColumn(name, matcher(docs.sparkSession, ids, texts)(text)).where(F.size(F.col(name)) == 0).drop(name)
     return out

@@ -4,10 +4,13 @@ A page is read into a tree: void elements and stray end tags are tolerated, and
 option end where another begins. script, style, noscript, template, textarea, svg and head hold no text. For each
 node C counts its characters, T its tags, LC and LT those within links; with the body's LC/C the composite
 density is C/T * log_b(C*T / (LC*LT)) with b = ln(C*LC/(C-LC) + LC_body*C/C_body + e), where counts of nothing
-count as 1. A node's density sum adds up the densities of its children. The node of the largest sum is taken;
+count as 1, and where b is 1, as in pages without links, the logarithm is the natural one. A node's density sum adds up the densities of its children. The node of the largest sum is taken;
 the threshold is the smallest density on the path from it to the body, and of its subtree every node of at
 least that density counts, with all that it holds, as do its own bits of text; nodes below the threshold are searched for such nodes.
 
+Reading takes time in proportion to the page: open elements are counted, so that no end tag or implied end looks
+further up than it closes, and where a quote in a tag is never closed, quotes count for nothing from that tag on.
+
 A page whose nodes have no text at all gives an empty text. Null pages give null, empty pages an empty text;
 without a body the root takes its place. Ties go to the node that comes first. Nesting may be of any depth, as
 nothing recurses. Equal rows are read each by itself. Extra columns don't matter.
@@ -18,6 +21,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,51 +38,89 @@ _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr
 _BLOCK = frozenset("address article aside blockquote dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tr ul br body".split())
 #: What keeps an implied end from reaching outwards.
 _FENCE = frozenset("table ul ol dl div article section aside nav main body html blockquote form select button".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[A-Za-z][^<>]*\Z|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_BARE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
+_CUT_TAG = re.compile(r"</?[A-Za-z][^<>]*+\Z")
 _BLANK = re.compile(r"\s+")
 
 
 class Tree:
-    """Nodes as parallel lists; node 0 is the root. parts holds of each node its texts and children in order."""
+    """Nodes as parallel lists; node 0 is the root. parts holds of each node its texts and children in order.
+    open_ counts the open elements by name, within those of the innermost open fence."""
 
     def __init__(self, source: str) -> None:
         self.tag, self.parent, self.parts = ["#root"], [-1], [[]]
-        at, node, n = 0, 0, len(source)
+        self.stack, self.open_, self.scopes = [0], defaultdict(int), [defaultdict(int)]
+        at, begun, n, tag = 0, 0, len(source), _TAG
+        last = source.rfind(">")
         while at < n:
-            m = _TOKEN.search(source, at)
-            if m is None:
-                self._text(node, source[at:])
+            start = source.find("<", at)
+            if start < 0:
                 break
-            if m.start() > at:
-                self._text(node, source[at : m.start()])
-            at = m.end()
-            name = (m.group(2) or "").lower()
-            if not name:
-                continue
-            if m.group(1):
-                up = node
-                while up > 0 and self.tag[up] != name:
-                    up = self.parent[up]
-                if up > 0:
-                    node = self.parent[up]
-                continue
-            ends = _CLOSES.get(name, {"p"} if name in _BLOCK and name != "br" else frozenset())
-            up = node
-            while up > 0 and self.tag[up] not in _FENCE:
-                if self.tag[up] in ends:
-                    node = self.parent[up]
-                up = self.parent[up]
-            self.tag.append(name)
-            self.parent.append(node)
-            self.parts.append([])
-            self.parts[node].append(len(self.tag) - 1)
-            if name in _VOID or m.group(3).endswith("/"):
+            m = None
+            if source.startswith("<!--", start):
+                stop = source.find("-->", start + 4)
+                stop = n if stop < 0 else stop + 3
+            elif source.startswith("<![CDATA[", start):
+                stop = source.find("]]>", start + 9)
+                stop = n if stop < 0 else stop + 3
+            elif source.startswith(("<!", "<?"), start):
+                stop = source.find(">", start)
+                stop = n if stop < 0 else stop + 1
+            else:
+                m = tag.match(source, start) if start < last else None
+                if m is None and start < last and tag is _TAG and _BARE_TAG.match(source, start):
+                    tag = _BARE_TAG  # a quote here is never closed
+                    m = tag.match(source, start)
+                stop = m.end() if m else n if _CUT_TAG.match(source, start) else 0
+            if not stop:
+                at = start + 1  # a sign of the text
                 continue
-            if name in _RAW:
-                end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
-                at = end.end() if end else n
-                continue
-            node = len(self.tag) - 1
+            if start > begun:
+                self._text(self.stack[-1], source[begun:start])
+            at = begun = stop
+            if m is not None:
+                name = m.group(2).lower()
+                if m.group(1):
+                    if self.open_[name]:
+                        while self._close() != name:
+                            pass
+                else:
+                    self._element(name, m.group(3).endswith("/"))
+                    if name in _RAW and self.stack[-1] == len(self.tag) - 1:
+                        end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
+                        at = begun = end.end() if end else n
+                        self._close()
+        if begun < n:
+            self._text(self.stack[-1], source[begun:])
+
+    def _close(self) -> str:
+        """Ends the innermost element; its name."""
+        name = self.tag[self.stack.pop()]
+        self.open_[name] -= 1
+        if name in _FENCE:
+            self.scopes.pop()
+        else:
+            self.scopes[-1][name] -= 1
+        return name
+
+    def _element(self, name: str, closed: bool) -> None:
+        within = self.scopes[-1]
+        for end in _CLOSES.get(name, ("p",) if name in _BLOCK and name != "br" else ()):
+            while within[end]:
+                self._close()
+        self.tag.append(name)
+        self.parent.append(self.stack[-1])
+        self.parts.append([])
+        self.parts[self.stack[-1]].append(len(self.tag) - 1)
+        if name in _VOID or closed:
+            return
+        self.stack.append(len(self.tag) - 1)
+        self.open_[name] += 1
+        if name in _FENCE:
+            self.scopes.append(defaultdict(int))
+        else:
+            within[name] += 1
 
     def _text(self, node: int, raw: str) -> None:
         text = html.unescape(raw) if "&" in raw else raw
@@ -97,8 +139,11 @@ def densities(tree: Tree) -> tuple[list[float], list[float], list[int], int]:
         linked[i] = linked[tree.parent[i]] or tree.tag[i] == "a"
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     for i in range(n - 1, -1, -1):  # children come after their parents
-        if not silent[i]:
-            own = sum(len(_BLANK.sub(" ", p).strip()) for p in tree.parts[i] if isinstance(p, str))
+        if tree.parts[i] and not silent[i]:
+            own = 0
+            for p in tree.parts[i]:
+                if isinstance(p, str) and p != " ":
+                    own += len(_BLANK.sub(" ", p).strip())
             chars[i] += own
             if linked[i]:
                 link_chars[i] += own
@@ -132,7 +177,10 @@ def main_text(source: str | None) -> tuple[str, int, float] | None:
     inside[body] = True
     for i in range(body + 1, len(tree.tag)):
         inside[i] = inside[tree.parent[i]]
-    best = max((i for i in range(len(tree.tag)) if inside[i]), key=lambda i: (total[i], -i))
+    best = body
+    for i in range(body, len(tree.tag)):
+        if inside[i] and total[i] > total[best]:
+            best = i
     if not chars[body]:
         return "", len(tree.tag), 0.0
     if not total[best]:

@@ -1,16 +1,18 @@
 """Chat formatting by quotation linking: conversations in reply order, without what messages quote.
 
-A line's quote level is the number of > before it; lines that announce a quote ("On ... wrote:") go with it.
-Runs of lines of one level are passages, rejoined over line breaks and parted at blank lines, and their
-sentences, in lower case and reduced to words, are hashed. A message answers the earlier message of its
-conversation whose own sentences make up most of what it quotes at the first level, by characters (the later
-one if equal); one that quotes nothing known answers the message before it. Reply order is the tree in depth
-first order, answers to one message by their place. Level two and deeper are parsed and dropped alike.
+A line's quote level is the number of > before it; lines that announce a quote ("On ... wrote:", of any length and
+over one or two lines) go with it. Runs of lines of one level are passages, rejoined over line breaks and parted
+at blank lines, and their sentences, in lower case and reduced to words, are hashed with their level. What a message quotes at a
+level is joined to the earlier messages of its conversation that have it one level less deep: what stands at the
+first level was said there, what stands deeper was quoted there. A message answers the one to which most of its
+first level leads, by characters; of those alike, or where the first level leads nowhere, the one to which most of the
+deeper levels lead; then the later one. A message that quotes nothing known answers the message before it. Reply
+order is the tree in depth first order, answers to one message by their place.
 
 Messages are in the order of turn (null last), role and text, so that equal rows are messages of their own.
 Null texts are empty messages; messages that only quote stay with an empty text. A null conv_id is no
-conversation: each different row of those stands alone. An empty table has no conversations. Extra columns
-don't matter.
+conversation: each different row of those stands alone, rows that are equal in all three columns, null by null,
+together. An empty table has no conversations. Extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 from .text import column, cut, same
 
 _LEVEL = re.compile(r"((?:[ \t]*>)*)[ \t]?(.*)", re.S)
-_ANNOUNCES = re.compile(r"(?:on\b.*\bwrote|le\b.*\ba écrit|am\b.*\bschrieb.*|el\b.*\bescribió|[^\n]{1,80}\b(?:wrote|writes?)|-{2,} ?original message ?-{2,})\s?:?\s*", re.I | re.S)
+_ANNOUNCES = re.compile(r"(?:on\b.*\bwrote|le\b.*\ba écrit|am\b.*\bschrieb.*|el\b.*\bescribió|[^\n]+\b(?:wrote|writes?)(?=\s?:)|-{2,} ?original message ?-{2,})\s?:?\s*", re.I | re.S)
 _STOP = re.compile(r"(?<=[.!?…])\s+")
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -44,7 +46,7 @@ def parsed(text: str | None) -> tuple[str, list[tuple[int, str]]]:
         if line.strip() and ahead is not None and lines[ahead][0] > level and _ANNOUNCES.fullmatch(line.strip()):
             gone.add(i)
         elif i + 1 < len(lines) and lines[i + 1][0] == level and line.strip() and i + 2 < len(lines) and lines[i + 2][0] > level:
-            if len(line) < 200 and re.match(r"(?:on|le|am|el)\b", line.strip(), re.I) and _ANNOUNCES.fullmatch(f"{line.strip()} {lines[i + 1][1].strip()}"):
+            if re.match(r"(?:on|le|am|el)\b", line.strip(), re.I) and _ANNOUNCES.fullmatch(f"{line.strip()} {lines[i + 1][1].strip()}"):
                 gone |= {i, i + 1}
     passages: list[tuple[int, str]] = []
     run: list[str] = []
@@ -65,7 +67,7 @@ def parsed(text: str | None) -> tuple[str, list[tuple[int, str]]]:
 
 
 def units(passage: str) -> list[tuple[int, int]]:
-    """(hash, characters) of the normalised sentences of a passage."""
+    """(hash, characters) of the normalised sentences of a passage; sentences without a word have none."""
     out = []
     for sentence in _STOP.split(passage):
         norm = " ".join(_WORDS.findall(sentence.casefold()))
@@ -74,19 +76,18 @@ def units(passage: str) -> list[tuple[int, int]]:
     return out
 
 
-_UNIT = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("n", T.IntegerType())]))
+_UNIT = T.ArrayType(T.StructType([T.StructField("level", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("n", T.IntegerType())]))
 
 
-@F.arrow_udf(T.StructType([T.StructField("own", T.StringType()), T.StructField("said", _UNIT), T.StructField("quoted", _UNIT), T.StructField("levels", T.IntegerType())]))
+@F.arrow_udf(T.StructType([T.StructField("own", T.StringType()), T.StructField("units", _UNIT), T.StructField("levels", T.IntegerType())]))
 def message(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    unit = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())]))
-    kind = pa.struct([("own", pa.string()), ("said", unit), ("quoted", unit), ("levels", pa.int32())])
+    kind = pa.struct([("own", pa.string()), ("units", pa.list_(pa.struct([("level", pa.int32()), ("h", pa.int64()), ("n", pa.int32())]))), ("levels", pa.int32())])
     for batch in batches:
         rows = []
         for text in batch:
             own, passages = parsed(text.as_py())
-            by = {level: [{"h": h, "n": n} for lv, p in passages if lv == level for h, n in units(p)] for level in (0, 1)}
-            rows.append({"own": own, "said": by[0], "quoted": by[1], "levels": max((lv for lv, _ in passages), default=0)})
+            found = [{"level": level, "h": h, "n": n} for level, p in passages for h, n in units(p)]
+            rows.append({"own": own, "units": found, "levels": max((lv for lv, _ in passages), default=0)})
         yield pa.array(rows, kind)
 
 
@@ -112,15 +113,17 @@ def reply_order(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def linked(conversations: DataFrame) -> DataFrame:
     """(conv, alone, place, turn, role, own, answers, levels): each message with the place of the one that it answers."""
     c, turn, role, text = (column(conversations, n) for n in ("conv_id", "turn", "role", "text"))
-    alone = F.when(c.isNull(), F.xxhash64(turn, role, text))
+    alone = F.when(c.isNull(), F.xxhash64(*(x for v in (turn, role, text) for x in (v.isNull(), v))))
     order = Window.partitionBy("conv", "alone").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
     rows = conversations.select(c.alias("conv"), alone.alias("alone"), turn.alias("turn"), role.alias("role"), text.alias("text"))
     rows = rows.withColumn("place", F.row_number().over(order)).withColumn("m", message.asNondeterministic()("text"))
     rows = cut(rows.select("conv", "alone", "place", "turn", "role", "m.*"))
-    said = rows.where("conv is not null").select("conv", F.col("place").alias("by"), F.explode(F.array_distinct(F.transform("said", lambda u: u["h"]))).alias("h"))
-    quoted = rows.where("conv is not null").select("conv", "place", F.explode("quoted").alias("u")).select("conv", "place", F.col("u")["h"].alias("h"), F.col("u")["n"].alias("n"))
-    shared = quoted.join(said, ["conv", "h"]).where("by < place").groupBy("conv", "place", "by").agg(F.sum("n").alias("n"))
-    parent = shared.groupBy(F.col("conv").alias("c"), F.col("place").alias("p")).agg(F.max(F.struct("n", "by"))["by"].alias("answers"))
+    each = rows.where("conv is not null").select("conv", "place", F.inline("units"))
+    there = each.select("conv", F.col("place").alias("by"), (F.col("level") + 1).alias("level"), "h").distinct()
+    shared = each.where("level > 0").join(there, ["conv", "level", "h"]).where("by < place")
+    first = F.sum(F.when(F.col("level") == 1, F.col("n")).otherwise(0))
+    ranked = shared.groupBy("conv", "place", "by").agg(first.alias("first"), F.sum("n").alias("all"))
+    parent = ranked.groupBy(F.col("conv").alias("c"), F.col("place").alias("p")).agg(F.max(F.struct("first", "all", "by"))["by"].alias("answers"))
     out = rows.join(parent, same(rows["conv"], F.col("c")) & (rows["place"] == F.col("p")), "left")
     return out.select("conv", "alone", "place", "turn", "role", "own", F.coalesce("answers", F.col("place") - 1).alias("answers"), F.col("answers").isNotNull().alias("linked"), "levels")
 

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import cut, shared_folder  # noqa: F401  used by the operators
+
 PIECE = 1 << 20
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
 _ROOT_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -20,6 +22,8 @@ _BYTE_CODE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.
 #: Characters above ASCII are letters here; the other table parts words at control characters and blanks only.
 WORD_BYTES = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 INK_BYTES = np.arange(256) > 32
+#: First bytes of kana and Han characters in UTF-8, which are written without blanks between words.
+HAN_BYTES = (np.arange(256) >= 0xE3) & (np.arange(256) <= 0xE9)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,35 +48,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def column(df: DataFrame, name: str) -> Column:
-    """Column by its exact name, also where the name holds dots; where names differ in case only, the exact one."""
+    """Column by its exact name, also where the name holds dots or other columns differ from it in case only. Where
+    no name is exact, one that differs in case serves; a name that is there twice is an error."""
+    if df.columns.count(name) > 1:
+        raise ValueError(f"column {name} is there more than once")
+    quoted = "`" + name.replace("`", "``") + "`"
     if sum(c.lower() == name.lower() for c in df.columns) < 2:
-        return df["`" + name.replace("`", "``") + "`"]
-    raise ValueError(f"column {name} is there more than once")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names for checkpoints; a local one only where all executors are local."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not current.isEmpty():
-            return current.get()
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="tickframe-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in files of the shared folder."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+        return df[quoted]
+    conf, key = df.sparkSession.conf, "spark.sql.caseSensitive"
+    before = conf.get(key)
+    conf.set(key, "true")  # names are resolved here and now
+    try:
+        return df[quoted]
+    finally:
+        conf.set(key, before)
 
 
 def lookup(df: DataFrame, rows: int = 100_000) -> DataFrame:
@@ -144,8 +133,9 @@ class Rolling:
         return (sums[end] - sums[start]) * self.down[start]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, text) of each maximal run of bytes that `inside` allows; texts never run together."""
+def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text) of each maximal run of bytes that `inside` allows; texts never run together. alone: bytes
+    that begin a character of three bytes that is a word of its own."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
@@ -154,8 +144,13 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     first[1:] &= ~ink[:-1]
     edge = offsets[:-1][offsets[:-1] < len(data)]
     first[edge] = ink[edge]
+    if alone is not None:
+        own = alone[data]
+        if own.any():
+            own[3:] |= own[:-3]
+            first |= own & ink
     last = ink.copy()
-    last[:-1] &= ~ink[1:]
+    last[:-1] &= ~ink[1:] | first[1:]
     edge = edge[edge > 0] - 1
     last[edge] = ink[edge]
     start = np.flatnonzero(first)
