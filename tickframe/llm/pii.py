@@ -1,9 +1,9 @@
 """Personal data by weak supervision: labelers vote on candidate spans, EM weighs them, a classifier decides.
 
 Candidates are runs that look like e-mail addresses, IP addresses, bank accounts, phone, card and identity
-numbers, other numbers, and persons: runs of two or more capitalised words, with initials and particles, or of one
+numbers, street addresses, other numbers, and persons: runs of two or more capitalised words, with initials and particles, or of one
 after a title or contact word; blanks and a line break may part them. Names in capitals or small letters only
-are no candidates. The context labeler says no to a run without given name, title or contact word. Regex, checksum, gazetteer and context labelers
+are no candidates. The gazetteer of given names is loaded from a file; it votes on candidates and makes none. The context labeler says no to a run without given name, title or contact word. Regex, checksum, gazetteer and context labelers
 each say yes, no or nothing to a candidate. `reliabilities` fits, by expectation-maximisation over the counts of
 all vote patterns in the corpus, how often each labeler says what of personal data and of other spans, and how
 common personal data is in each kind. A logistic classifier over the span's shape and its neighbour words is
@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,10 @@ SAMPLE = 50_000
 FEATURES = 1024
 ROUNDS = 60
 THRESHOLD = 0.5
-GIVEN = (
-    "James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen "
-    "Daniel Nancy Matthew Lisa Anthony Betty Mark Margaret Pierre Marie Jean Camille Claire Hans Jürgen Klaus Anna Petra Carlos José Juan María Carmen Lucía"
-).split()
+#: The gazetteer that comes with the package: given names of many languages, one a line.
+NAMES = Path(__file__).with_name("given_names.txt")
 ENDINGS = frozenset("com org net edu gov io info biz co uk de fr es eu us ca au jp ch at nl it".split())
-KINDS = ("email", "ip", "iban", "phone", "card", "identity", "number", "person")
+KINDS = ("email", "ip", "iban", "phone", "card", "identity", "number", "person", "address")
 _CANDIDATE = re.compile(
     r"(?P<email>[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+)"
     r"|(?<![\w.])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)"
@@ -45,6 +44,7 @@ _CANDIDATE = re.compile(
     r"|(?<!\w)(?P<phone>\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}[ \-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\w)"
     r"|(?<!\w)(?P<card>\d{4}(?:[ \-]\d{4}){3}|\d{13,19})(?!\w)"
     r"|(?<!\w)(?P<identity>\d{3}-\d{2}-\d{4})(?!\w)"
+    r"|(?<!\w)(?P<address>\d{1,5}[A-Za-z]? (?:[A-ZÀ-ÖØ-Þ][\w'’.\-]* ){1,4}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Court|Square|Terrace|Way|Close|Crescent)\b\.?)"
     r"|(?<!\w)(?P<number>\d+(?:[.,:/\-]\d+)*)"
 )
 _MAYBE = "[0-9@]"
@@ -54,7 +54,8 @@ _RUN = re.compile(rf"{_NAME}(?:{_GAP}(?:(?:(?:van|von|der|den|de|la|del|di|da|do
 _CAPITAL = r"\p{Lu}['’]?\p{L}*\p{Ll}"
 _PART = re.compile(r"[^\s]+")
 _TITLES = frozenset("mr mrs ms miss mx dr prof sir dame herr frau señor señora sr sra monsieur madame mme name contact".split())
-_GIVEN = frozenset(g.lower() for g in GIVEN)
+_LONGEST = max(map(len, _TITLES))
+_LAST = re.compile(r"[^\W\d_]+$")
 #: Words that begin sentences or name places, times, offices and works, not persons.
 _COMMON = frozenset(
     "the a an in on at by for from to of and or but if as it its this that these those he she we they you i his her our their there here when where while what who how why after before since with without all some many most no not yes new "
@@ -80,13 +81,15 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def given(span: str) -> bool:
-    return any(w in _GIVEN for w in _WORD.findall(span.lower()))
+def loaded(path: str | Path = NAMES) -> frozenset[str]:
+    """A gazetteer of given names, in small letters."""
+    return frozenset(Path(path).read_text("utf-8").lower().split())
 
 
-def gazetteer(span: str) -> int:
+def gazetteer(span: str, names: Collection[str]) -> int:
     """Of a person: yes for a given name, no for a word that isn't a name's, else nothing."""
-    return 2 if given(span) else 1 if any(w in _COMMON or w in _NO for w in _WORD.findall(span.lower())) else 0
+    found = _WORD.findall(span.lower())
+    return 2 if any(w in names for w in found) else 1 if any(w in _COMMON or w in _NO for w in found) else 0
 
 
 def persons(text: str) -> Iterator[tuple[int, int]]:
@@ -98,18 +101,22 @@ def persons(text: str) -> Iterator[tuple[int, int]]:
             titled = word in _TITLES or word in _YES
             parts = parts[1:]
         if titled is None and parts:
-            before = text[max(0, begin - 16) : begin].rstrip(" \t\xa0\r\n")
-            last = re.search(r"[^\W\d_]+(?=[.:]?$)", before)
+            end_ = begin
+            while end_ and text[end_ - 1] in " \t\xa0\r\n":
+                end_ -= 1
+            if end_ and text[end_ - 1] in ".:":
+                end_ -= 1
+            last = _LAST.search(text[max(0, end_ - 1 - _LONGEST) : end_])  # one sign more than the longest title
             titled = last is not None and last.group().lower() in _TITLES
         if len(parts) > 1 or parts and titled:
             yield parts[0][0], end
 
 
-def votes(kind: str, span: str, before: list[str], after: list[str]) -> list[int]:
+def votes(kind: str, span: str, before: list[str], after: list[str], names: Collection[str]) -> list[int]:
     """Of each labeler 0 for nothing, 1 for no, 2 for yes."""
     digits = re.sub(r"\D", "", span)
     out = [0] * len(LABELERS)
-    if kind in ("email", "phone", "identity"):
+    if kind in ("email", "phone", "identity", "address"):
         out[0] = 2
     elif kind == "ip":
         out[0] = 2 if all(int(x) < 256 for x in span.split(".")) else 1
@@ -123,34 +130,44 @@ def votes(kind: str, span: str, before: list[str], after: list[str]) -> list[int
     if kind == "email":
         out[2] = 2 if span.rsplit(".", 1)[1].lower() in ENDINGS else 1
     elif kind == "person":
-        out[2] = gazetteer(span)
+        out[2] = gazetteer(span, names)
     elif kind == "phone" and span.startswith("+"):
         out[2] = 2 if digits[:1] in "12345679" else 1
     if any(w in _NO for w in before[-2:]):
         out[3] = 1
     elif any(w in _YES for w in before[-4:]) or kind == "person" and any(w in _TITLES for w in before[-2:]):
         out[3] = 2
-    elif kind == "person" and not given(span):
+    elif kind == "person" and out[2] < 2:
         out[3] = 1  # bare capitals; a labeler that never said no would weigh nothing
     if any(w in _YES for w in after[:1]):
         out[4] = 2
-    if digits and kind != "email":
+    if digits and kind not in ("email", "address"):
         out[5] = 1 if len(digits) < 7 else 0  # enough digits prove nothing
-    if digits and kind != "email" and _DATE.match(span):
+    if digits and kind not in ("email", "address") and _DATE.match(span):
         out[6] = 1
     return out
 
 
 def shape(span: str) -> str:
     """Runs of letters as a, of digits as their number up to four; other signs stay."""
-    return re.sub(r"\d+", lambda m: "9" * min(4, len(m.group())), re.sub(r"[^\W\d_]+", "a", span))[:40]
+    return re.sub(r"\d+", lambda m: "9" * min(4, len(m.group())), re.sub(r"[^\W\d_]+", "a", span))
+
+
+def before_words(text: str, at: int, n: int) -> list[str]:
+    """The last n words before a place, however far away, in small letters."""
+    reach = 64
+    while True:
+        found = _WORD.findall(text, max(0, at - reach), at)
+        if len(found) > n or reach >= at:
+            return [w.lower() for w in found[-n:]]
+        reach *= 4
 
 
 def hashed(*names: str) -> list[int]:
     return sorted({zlib.crc32(n.encode()) % FEATURES for n in names})
 
 
-def candidates(text: str) -> list[dict]:
+def candidates(text: str, names: Collection[str]) -> list[dict]:
     places, out = [], []
     for m in _CANDIDATE.finditer(text) if re.search(_MAYBE, text) else ():
         places.append((m.start(), m.start() + len(m.group().rstrip(".-")), m.lastgroup or ""))
@@ -162,30 +179,33 @@ def candidates(text: str) -> list[dict]:
             places.append((start, stop, "person"))
     for start, stop, kind in sorted(places):
         span = text[start:stop]
-        before = [w.lower() for w in _WORD.findall(text[max(0, start - 60) : start])]
-        after = [w.lower() for w in _WORD.findall(text[stop : stop + 40])]
+        before = before_words(text, start, 4)
+        m = _WORD.search(text, stop)
+        after = [m.group().lower()] if m else []
         v = 0
-        for x in votes(kind, span, before, after):
+        for x in votes(kind, span, before, after, names):
             v = v * 3 + x
         digits = sum(c.isdigit() for c in span)
-        names = ("bias", f"kind {kind}", f"shape {kind} {shape(span)}", f"digits {kind} {min(digits, 20)}", f"before {before[-1] if before else ''}", f"after {after[0] if after else ''}")
-        checked = f"check {kind} {luhn(re.sub(r'[^0-9]', '', span)) if kind == 'card' else all(int(x) < 256 for x in span.split('.')) if kind == 'ip' else gazetteer(span) if kind == 'person' else ''}"
-        out.append({"kind": KINDS.index(kind), "start": start, "stop": stop, "votes": v, "features": hashed(*names, checked)})
+        traits = ("bias", f"kind {kind}", f"shape {kind} {shape(span)}", f"digits {kind} {min(digits, 20)}", f"before {before[-1] if before else ''}", f"after {after[0] if after else ''}")
+        checked = f"check {kind} {luhn(re.sub(r'[^0-9]', '', span)) if kind == 'card' else all(int(x) < 256 for x in span.split('.')) if kind == 'ip' else gazetteer(span, names) if kind == 'person' else ''}"
+        out.append({"kind": KINDS.index(kind), "start": start, "stop": stop, "votes": v, "features": hashed(*traits, checked)})
     return out
 
 
-@F.arrow_udf(_SPANS)
-def spanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("votes", pa.int32()), ("features", pa.list_(pa.int32()))]))
-    for batch in batches:
-        maybe = pc.fill_null(pc.match_substring_regex(batch, f"{_MAYBE}|{_CAPITAL}"), False).to_numpy(zero_copy_only=False)
-        found: list[list[dict]] = [[] for _ in range(len(batch))]
-        for i in np.flatnonzero(maybe).tolist():
-            found[i] = candidates(batch[i].as_py())
-        yield pa.array(found, kind)
+def spanning(names: Collection[str]):
+    """UDF: the candidates of a text, with the gazetteer sent along."""
 
+    @F.arrow_udf(_SPANS)
+    def spanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("votes", pa.int32()), ("features", pa.list_(pa.int32()))]))
+        for batch in batches:
+            maybe = pc.fill_null(pc.match_substring_regex(batch, f"{_MAYBE}|{_CAPITAL}"), False).to_numpy(zero_copy_only=False)
+            found: list[list[dict]] = [[] for _ in range(len(batch))]
+            for i in np.flatnonzero(maybe).tolist():
+                found[i] = candidates(batch[i].as_py(), names)
+            yield pa.array(found, kind)
 
-spanned = spanned.asNondeterministic()  # else a filter on its result would run it twice
+    return spanned.asNondeterministic()  # else a filter on its result would run it twice
 
 
 def unpacked(patterns: np.ndarray) -> np.ndarray:
@@ -230,8 +250,10 @@ def fitted(features: list[list[int]], target: np.ndarray, weight: np.ndarray) ->
     return w
 
 
-def personal(docs: DataFrame) -> DataFrame:
-    """doc_id, kind, start, stop and probability of each span of personal data."""
+def personal(docs: DataFrame, names: Collection[str] | None = None) -> DataFrame:
+    """doc_id, kind, start, stop and probability of each span of personal data. names: a gazetteer of given names in
+    small letters, else that of the package."""
+    spanned = spanning(loaded() if names is None else frozenset(names))
     found = docs.select(column(docs, "doc_id").alias("doc_id"), F.explode(spanned(column(docs, "text"))).alias("s"))
     found = cut(found.select("doc_id", "s.*"))
     patterns = found.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).toPandas()
