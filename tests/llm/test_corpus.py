@@ -198,6 +198,83 @@ def test_forest_depth_and_full_nodes(spark):
             assert label[i] == label[j]
 
 
+def flipped(rng, sig, n):
+    bits = np.unpackbits(sig)
+    bits[rng.choice(256, n, replace=False)] ^= 1
+    return np.packbits(bits)
+
+
+def test_signatures_against_plain_votes():
+    rng = random.Random(2)
+    texts = ["", "one", "...", *(prose(rng, n) for n in (3, 40, 700))]
+    data, offsets = next((d, o) for _, d, o in pieces(pa.array(texts)))
+    which, rows = simhash.signatures(Rolling(), data, offsets)
+    assert which.tolist() == [1, 3, 4, 5]
+    for i, row in zip(which.tolist(), rows):
+        d, o = next((d, o) for _, d, o in pieces(pa.array([texts[i]])))
+        start, end, _ = words(d, o, WORD_BYTES)
+        codes = sorted(set(word_hashes(Rolling(), d, start, end).tolist()))
+        votes = [0] * 256
+        for c in codes:
+            for p, plane in enumerate(simhash._PLANES):
+                value = int(simhash.mix(np.array([c + plane & (1 << 64) - 1], np.uint64))[0]).to_bytes(8, "little")
+                for b in range(64):
+                    votes[p * 64 + b] += 1 if value[b >> 3] >> (b & 7) & 1 else -1
+        assert np.unpackbits(row).tolist() == [int(v > 0) for v in votes]
+
+
+def test_depth_follows_density(spark, monkeypatch):
+    """Dense places, in which most aren't near, are searched deeper; pairs are found there, elsewhere and between."""
+    monkeypatch.setattr(simhash, "FULL", 48)
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 256, 32, dtype=np.uint8)
+    sigs = [rng.integers(0, 256, 32, dtype=np.uint8) for _ in range(1500)] + [flipped(rng, base, int(n)) for n in rng.integers(24, 70, 2500)]
+    sigs += [flipped(rng, sigs[i], int(rng.integers(1, 34))) for i in rng.choice(4000, 900, replace=False)]
+    sigs = np.unique(np.array(sigs), axis=0)
+    df = spark.createDataFrame([(s.tobytes(),) for s in sigs], "sig binary").repartition(3)
+    plan = simhash.planned(df)
+    level = plan.levels(sigs)
+    assert len(plan.depths) > 1 and 0 < (level > 0).mean() < 1 and [simhash.tries(k) for k in plan.depths] == plan.tries
+    root = {bytes(r.node): bytes(r.root) for r in simhash.components(simhash.near_pairs(df, plan)).collect()}
+    lines = sigs.view(np.uint64)
+    near = np.triu(np.bitwise_count(lines[:, None] ^ lines[None]).sum(2) <= simhash.NEAR, 1)
+    for some in (near, near & (level[:, None] > 0) & (level[None] > 0), near & (level[:, None] != level[None])):
+        pairs = np.argwhere(some)
+        found = [root.get(sigs[a].tobytes(), 0) == root.get(sigs[b].tobytes(), 1) for a, b in pairs.tolist()]
+        assert len(pairs) > 20 and np.mean(found) >= 0.9
+    assert all(near[i].any() or near[:, i].any() for i in range(len(sigs)) if sigs[i].tobytes() in root)
+
+
+def test_nodes_with_guests(spark):
+    """Pairs of which one is at home are found in small and in large nodes."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 256, (6, 32), dtype=np.uint8)
+    for n in (20, 200):
+        sigs = np.array([flipped(rng, base[i % 6], int(rng.integers(0, 30))) for i in range(n)])
+        home = rng.random(n) < 0.3
+        member, first = simhash.spanning(sigs, np.array([0]), home)
+        label = np.arange(n)
+        label[member] = first
+        near = np.bitwise_count(sigs.view(np.uint64)[:, None] ^ sigs.view(np.uint64)[None]).sum(2) <= simhash.NEAR
+        for i, j in np.argwhere(near & (home[:, None] | home[None])).tolist():
+            assert label[i] == label[j]
+
+
+def test_the_row_that_stays_does_not_hang_on_the_order(spark):
+    rows = [(1, "the very same words here", "en", s, 0) for s in "dcba"] + [(2, "the very same words here", "en", "z", 0)]
+    kept = [simhash.thinned(spark.createDataFrame(r, SCHEMA).repartition(3)).collect() for r in (rows, rows[::-1])]
+    assert kept[0] == kept[1] and kept[0][0].source == "a" and len(kept[0]) == 1
+
+
+def test_columns_that_differ_in_case_only(spark):
+    df = spark.createDataFrame([(i, "some text of words", "en", "s", 0) for i in range(3)], SCHEMA).select("*", F.lit("other").alias("TEXT"), F.lit(7).alias("Doc_Id"))
+    assert [r.doc_id for r in quality.assess(df).collect()] == [0, 1, 2] and quality.reject(df).columns == df.columns
+    assert len(simhash.thinned(df).collect()) == 1 and mixing.mixed(df).columns == df.columns
+    assert shard.assign(df)[0].columns == [*df.columns, "shard"] and len(shard.sharded(df).collect()) == 3
+    bench = spark.createDataFrame([(1, "text of words")], "item_id bigint, text string")
+    assert decontam.leaks(df, bench).count() == 3 and decontam.clean(df, bench).count() == 0
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(f"{i:03d}", f"{i + 1:03d}") for i in range(40)] + [("x", f"y{i}") for i in range(9)] + [("q", "q")]
     got = {bytes(r.node).decode(): bytes(r.root).decode() for r in simhash.components(spark.createDataFrame(edges, "a string, b string").select(F.col("a").cast("binary").alias("a"), F.col("b").cast("binary").alias("b"))).collect()}

@@ -6,21 +6,26 @@ in `NEAR` bits at most; groups are the connected parts of that relation.
 
 The forest has several tries, each over another permutation of the bits. Near signatures share a prefix of
 depth k in a trie with the probability that k bits drawn at random all agree, so a depth asks for so many
-tries until their recall of pairs at the full distance `NEAR` reaches `RECALL`. How full the nodes of each
-depth are is counted over all signatures; from the deepest prefixes the search climbs to shorter ones as long
-as fewer tries and the candidates in fuller nodes cost less together. Dense corpora so get deeper prefixes and
-more tries, sparse ones shorter prefixes. Each signature is compared with all others in its node, whatever the
-node's size; a node hands on a spanning forest of its near pairs instead of all of them.
+tries until their recall of pairs at the full distance `NEAR` reaches `RECALL`. The nodes of each depth, up to what the number of signatures
+can fill, are counted over all of them; from the deepest prefixes the search climbs to shorter ones as long
+as fewer tries and the candidates in fuller nodes cost less together. That is the forest's depth where it is
+sparse. Below a node of more than `FULL` signatures, children that cost less with the tries of their own depth are
+searched at that depth, and so on down: each signature has the depth of its own neighbourhood. Tries are shared:
+those of a depth are the first of the next one's, and a signature stands in the nodes of its own depth and of all shorter ones.
+There, each signature at home in a node is compared with everything below it, so that of two signatures of different depths
+the one in the sparser place finds the other, with the recall of its own depth. Nodes are compared whole, whatever their
+size; a node hands on a spanning forest of its near pairs instead of all of them. The signatures are verified in full.
 
 Null texts and texts without a word have no signature, belong to no group and stay. Equal rows are near
 copies like any others: one stays. Of a group the row with the smallest doc_id stays (null ids are larger than
-others; then by text hash). Extra columns pass through. An empty table has no groups.
+others; then by text hash; of rows alike in both, the one whose columns as JSON come first). Extra columns pass through. An empty table has no groups.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +39,10 @@ from .text import WORD_BYTES, Rolling, column, cut, fresh, mix, pieces, same, wo
 BITS = 256
 NEAR = 36
 RECALL = 0.95
-DEPTHS = range(8, 31, 2)
+#: Signatures in a node above which its children may be searched deeper, and how many such children, those of the fullest
+#: nodes first, are sent to the tasks. Both only move cost: any depth has its recall.
+FULL = 512
+DEEPER = 1 << 20
 #: What handling a row of a trie costs, in comparisons of two signatures.
 ROW_COST = 150
 SMALL_NODE = 32
@@ -115,9 +123,30 @@ def binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def depth_for(nodes: DataFrame) -> tuple[int, int]:
-    """Depth and number of tries for these signatures."""
-    depths = list(DEPTHS)
+@dataclass
+class Plan:
+    """depths that signatures may have, shortest first, with the tries of each; deeper[i]: the prefixes of depth i in
+    the first trie whose signatures go down to it from the depth before, sorted."""
+
+    depths: list[int]
+    tries: list[int]
+    deeper: list[np.ndarray]
+
+    def levels(self, sigs: np.ndarray) -> np.ndarray:
+        """Of each signature the index of its depth."""
+        out, deep = np.zeros(len(sigs), np.int64), permuted(sigs, 0, self.depths[-1])
+        for i in range(1, len(self.depths)):
+            here = np.flatnonzero(out == i - 1)
+            prefix, known = deep[here] >> (self.depths[-1] - self.depths[i]), self.deeper[i]
+            if not len(here) or not len(known):
+                break
+            out[here[known[np.minimum(np.searchsorted(known, prefix), len(known) - 1)] == prefix]] = i
+        return out
+
+
+def planned(nodes: DataFrame) -> Plan:
+    """The depths for these signatures."""
+    depths = list(range(8, nodes.count().bit_length() + 4, 2)) or [8]
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,21 +155,42 @@ def depth_for(nodes: DataFrame) -> tuple[int, int]:
                 values, counts = np.unique(deep >> (depths[-1] - k), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), k, np.int32)), pa.array(values), pa.array(counts)], ["k", "p", "n"])
 
-    counted = nodes.mapInArrow(prefixes, "k int, p bigint, n bigint").groupBy("k", "p").agg(F.sum("n").alias("n"))
+    counted = cut(nodes.mapInArrow(prefixes, "k int, p bigint, n bigint").groupBy("k", "p").agg(F.sum("n").alias("n")))
     fill = {r.k: float(r.pairs) / float(r.n) for r in counted.groupBy("k").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"), F.sum("n").alias("n")).collect()}
     if not fill:
-        return depths[0], tries(depths[0])
+        return Plan(depths[:1], [tries(depths[0])], [np.zeros(0, np.int64)])
     at = len(depths) - 1
     cost = [tries(k) * (ROW_COST + fill[k]) for k in depths]
     while at and cost[at - 1] <= cost[at]:
         at -= 1
-    return depths[at], tries(depths[at])
+    many = F.create_map(*(F.lit(x) for k in depths for x in (k, tries(k))))
+    full = counted.where((F.col("n") > FULL) & (F.col("k") >= depths[at])).select((F.col("k") + 2).alias("k"), F.col("p").alias("above"), F.col("n").alias("all"))
+    child = counted.withColumn("above", F.shiftright("p", 2)).join(full, ["k", "above"])
+    cheaper = many[F.col("k")] * (ROW_COST + F.col("n")) < many[F.col("k") - 2] * (ROW_COST + F.col("all"))
+    found = child.where(cheaper).orderBy(F.col("all").desc(), "k", "p").limit(DEEPER).select("k", "p").toPandas()
+    used = [k for k in depths[at:] if k == depths[at] or (found["k"] == k).any()]
+    used = depths[at : at + len(used)]  # the depths go on without a gap, else nobody gets to them
+    return Plan(used, [tries(k) for k in used], [np.sort(found["p"][found["k"] == k].to_numpy(np.int64)) for k in used])
+
+
+def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the signatures a, as rows of four numbers, are near any of b."""
+    hit = np.zeros(len(a), bool)
+    step = max(1, min(64, (1 << 22) // max(len(a), 1)))
+    for i in range(0, len(b), step):
+        open_ = np.flatnonzero(~hit)
+        if not len(open_):
+            break
+        apart = np.bitwise_count(a[open_][:, None, :] ^ b[i : i + step][None]).sum(2, dtype=np.int64)
+        hit[open_[(apart <= NEAR).any(1)]] = True
+    return hit
 
 
-def spanning(sigs: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spanning(sigs: np.ndarray, heads: np.ndarray, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(member, first member of its part) for the members of parts of near signatures within nodes that
-    start at heads, first members left out."""
+    start at heads, first members left out. Pairs of which neither is at home in the node may be left out."""
     n = len(sigs)
+    home = np.ones(n, bool) if home is None else home
     lines = np.ascontiguousarray(sigs).view(np.uint64)
     label = np.arange(n)
     node = np.zeros(n, np.int64)
@@ -151,12 +201,14 @@ def spanning(sigs: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarra
     small = np.repeat(sizes <= SMALL_NODE, sizes)
     left, right = [], []
     for step in range(1, SMALL_NODE):
-        i = np.flatnonzero((node[:-step] == node[step:]) & small[:-step]) if step < n else node[:0]
+        i = np.flatnonzero((node[:-step] == node[step:]) & small[:-step] & (home[:-step] | home[step:])) if step < n else node[:0]
         if not len(i):
-            break
-        near = np.bitwise_count(lines[i] ^ lines[i + step]).sum(1, dtype=np.int64) <= NEAR
-        left.append(i[near])
-        right.append(i[near] + step)
+            if step >= SMALL_NODE or step >= n or not (node[:-step] == node[step:]).any():
+                break
+            continue
+        close = np.bitwise_count(lines[i] ^ lines[i + step]).sum(1, dtype=np.int64) <= NEAR
+        left.append(i[close])
+        right.append(i[close] + step)
     if left:
         a, b = np.concatenate(left), np.concatenate(right)
         while len(a):
@@ -169,64 +221,63 @@ def spanning(sigs: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarra
                 break
     for h, e in zip(heads[sizes > SMALL_NODE], ends[sizes > SMALL_NODE]):
         rest = np.arange(h, e)
-        while len(rest):
-            part, front, rest = rest[0], rest[:1], rest[1:]
+        while home[rest].any():
+            part = rest[np.argmax(home[rest])]
+            front, rest = np.array([part]), rest[rest != part]
             while len(front) and len(rest):
-                hit = np.zeros(len(rest), bool)
-                for f in range(0, len(front), 64):
-                    some = front[f : f + 64]
-                    if len(rest) * len(some) > 1 << 22:
-                        some_of = [some[i : i + 1] for i in range(len(some))]
-                    else:
-                        some_of = [some]
-                    for s in some_of:
-                        open_ = np.flatnonzero(~hit)
-                        if len(open_):
-                            apart = np.bitwise_count(lines[rest[open_]][:, None, :] ^ lines[s][None]).sum(2, dtype=np.int64)
-                            hit[open_[(apart <= NEAR).any(1)]] = True
+                own = home[front]
+                hit = near(lines[rest], lines[front[own]])
+                other = np.flatnonzero(~hit & home[rest])
+                hit[other] = near(lines[rest[other]], lines[front[~own]])
                 front, rest = rest[hit], rest[~hit]
                 label[front] = part
     member = np.flatnonzero(label != np.arange(n))
     return member, label[member]
 
 
-def near_pairs(nodes: DataFrame, depth: int, forest: int) -> DataFrame:
-    """(a, b): edges between near signatures, enough to connect whatever shares a node of the forest."""
+def near_pairs(nodes: DataFrame, plan: Plan) -> DataFrame:
+    """(a, b): edges between near signatures, enough to connect whatever meets in a node of the forest."""
+    sent = nodes.sparkSession.sparkContext.broadcast(plan)
 
     def planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
         for batch in batches:
             sigs = rows_of(batch.column(0))
-            for t in range(forest):
-                yield pa.RecordBatch.from_arrays([pa.array((np.int64(t) << 32) | permuted(sigs, t, depth)), batch.column(0)], ["node", "sig"])
+            level = own.levels(sigs)
+            for i, (depth, forest) in enumerate(zip(own.depths, own.tries)):
+                here = np.flatnonzero(level >= i)
+                if not len(here):
+                    break
+                some, column_, home = sigs[here], batch.column(0).take(pa.array(here)), pa.array(level[here] == i)
+                for t in range(forest):
+                    name = mix(permuted(some, t, depth).view(np.uint64) ^ mix(np.array([t << 8 | depth], np.uint64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), home, column_], ["node", "home", "sig"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_node, kept = np.zeros(0, np.int64), np.zeros((0, BITS // 8), np.uint8)
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def edges(node: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
+        def edges(node: np.ndarray, home: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
             heads = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-            b, a = spanning(sigs, heads)
+            b, a = spanning(sigs, heads, home)
             return pa.RecordBatch.from_arrays([binary(sigs[a]), binary(sigs[b])], ["a", "b"])
 
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             node = batch.column(0).to_numpy()
-            waiting.append((node, rows_of(batch.column(1))))
+            waiting.append((node, batch.column(1).to_numpy(zero_copy_only=False), rows_of(batch.column(2))))
             size += len(node)
             if size < 1 << 16 or node[0] == node[-1] and waiting[0][0][0] == node[0]:
                 continue
-            node, sigs = np.concatenate([kept_node, *(w[0] for w in waiting)]), np.concatenate([kept, *(w[1] for w in waiting)])
+            node, home, sigs = (np.concatenate(x) for x in zip(*waiting))
             done = int(np.searchsorted(node, node[-1]))
-            kept_node, kept, waiting, size = node[done:].copy(), sigs[done:].copy(), [], 0
+            waiting, size = [(node[done:].copy(), home[done:].copy(), sigs[done:].copy())], 0
             if done:
-                yield edges(node[:done], sigs[:done])
-        node, sigs = np.concatenate([kept_node, *(w[0] for w in waiting)]), np.concatenate([kept, *(w[1] for w in waiting)])
-        if len(node):
-            yield edges(node, sigs)
+                yield edges(node[:done], home[:done], sigs[:done])
+        if waiting:
+            yield edges(*(np.concatenate(x) for x in zip(*waiting)))
 
-    forest_rows = nodes.mapInArrow(planted, "node bigint, sig binary").repartition(F.col("node")).sortWithinPartitions("node", "sig")
+    forest_rows = nodes.mapInArrow(planted, "node bigint, home boolean, sig binary").repartition(F.col("node")).sortWithinPartitions("node", "sig")
     return forest_rows.mapInArrow(compared, "a binary, b binary").distinct()
 
 
@@ -253,7 +304,7 @@ def members(docs: DataFrame) -> DataFrame:
     """(doc_id, h, root, n, first_id, first_h) for each row in a group of two or more; h is a hash of the text."""
     rows = cut(docs.select(column(docs, "doc_id").alias("doc_id"), F.xxhash64(column(docs, "text")).alias("h"), signed(column(docs, "text")).alias("sig")).where("sig is not null"))
     nodes = cut(rows.select("sig").distinct())
-    roots = components(near_pairs(nodes, *depth_for(nodes)))
+    roots = components(near_pairs(nodes, planned(nodes)))
     rooted = rows.join(roots, rows["sig"] == roots["node"], "left").select("doc_id", "h", F.coalesce("root", "sig").alias("root"))
     rooted = cut(rooted)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first")
@@ -280,5 +331,7 @@ def thinned(docs: DataFrame) -> DataFrame:
     gone = found.where(~first | (F.col("n") > 1)).select(F.col("doc_id").alias(id_), F.col("h").alias(h))
     alone = keyed.join(gone, on, "left_anti").drop(key)
     tied = found.where(first & (F.col("n") > 1)).select(F.col("doc_id").alias(id_), F.col("h").alias(h))
-    one = keyed.join(tied, on).dropDuplicates([id_, h]).drop(id_, h, key)
-    return alone.unionByName(one)
+    there = keyed.join(tied, on).drop(key)
+    row = F.struct(*(c.alias(f"c{i}") for i, c in enumerate(column(docs, c) for c in docs.columns)))
+    one = there.groupBy(id_, h).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return alone.union(one.select(*(F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns))))
