@@ -57,6 +57,7 @@ def test_vocabulary_grows_with_the_corpus(spark):
     docs = [(i, " ".join(w for w in often[i % 8 :: 8])) for i in range(48)] + [(99, " ".join(seldom))]
     df = spark.createDataFrame(docs, DOC)
     model = maxent.started(df)
+    model.spelling = maxent.letters(maxent.learn(maxent.replace(model, class_rows=model.class_rows.copy(), word_rows=model.word_rows.copy()), maxent.Rolling(), [pa.array([d for _, d in docs])])[2])
     assert len(model.known) == 8000 == len(set(model.output.tolist()))
     places = np.r_[model.output, model.unknown]
     top, line, node, place = model.walk(places)
@@ -79,9 +80,53 @@ def test_spellings_are_a_distribution():
 
 
 def test_tables_grow_with_the_corpus(spark, monkeypatch):
-    monkeypatch.setattr(maxent, "TOKENS_A_ROW", 1)
+    monkeypatch.setattr(maxent, "ROOT", 320)
     model = maxent.started(spark.createDataFrame([(1, "a b c d e " * 20_000)], DOC))
-    assert model.word_rows.shape == (100_000, maxent.WIDTH) and model.class_rows.shape == (50_000, maxent.CLASSES)
+    assert model.word_rows.shape == (320 * 316, maxent.WIDTH) and model.class_rows.shape == (160 * 316, maxent.CLASSES)
+    monkeypatch.setattr(maxent, "OWN", 1)
+    few = maxent.started(spark.createDataFrame([(1, "a b " * 20_000 + "c " * 150 + "d " * 250)], DOC))
+    assert len(few.known) == 3  # the root of 40,400 words is 200
+
+
+def test_rough_exponentials():
+    z = np.linspace(-80, 60, 100_001).astype(np.float32).reshape(-1, 1)
+    assert np.abs(maxent.roughly(z) / np.exp(z.astype(float)) - 1).max() < 0.025
+    assert maxent.roughly(np.array([[-1e9, 1e9]], np.float32)).min() > 0
+    z = np.random.default_rng(0).normal(size=(9, 5)).astype(np.float32)
+    assert np.allclose(maxent.cost(z.copy(), np.arange(9) % 5), -np.log2(maxent.softmax(z.copy())[np.arange(9), np.arange(9) % 5]), atol=1e-5)
+
+
+def test_bits_against_the_model_word_by_word(spark):
+    """A plain walk through features, rows, classes, nodes and spelling for each word."""
+    rng = random.Random(7)
+    seen = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(900)]
+    docs = [(i, " ".join(rng.choice(seen) for _ in range(300))) for i in range(40)]
+    model = maxent.trained(spark.createDataFrame(docs, DOC))
+    text = docs[0][1][:600] + " neverseen Word " + docs[1][1][:300]
+    found = next(maxent.tokens(maxent.Rolling(), pa.array([text])))
+    codes, total = found.codes, 0.0
+    place = dict(zip(model.known.tolist(), model.output.tolist()))
+    for i, code in enumerate(codes.tolist()):
+        past = [int(codes[j]) if j >= 0 else 0 for j in (i - 1, i - 2)]
+        features = [maxent.mix(np.array([x % (1 << 64)], np.uint64)) for x in (past[0] + 1, past[0] * 0x9E3779B97F4A7C15 + past[1] + 2, past[1] + 3)]
+        out, ways = place.get(code, model.unknown), []
+        while True:
+            node = out // maxent.WIDTH
+            ways.append((node, out % maxent.WIDTH))
+            if node < maxent.CLASSES:
+                break
+            out = int(model.above[node - maxent.CLASSES])
+        z = model.class_bias.astype(float) + sum(model.class_rows[maxent.row_at(f, len(model.class_rows))[0]] for f in features)
+        total += np.log2(np.exp(z).sum()) - z[node] / np.log(2)
+        for node, at in ways:
+            z = model.word_bias[node].astype(float) + sum(model.word_rows[maxent.word_at(f, np.array([node]), len(model.word_rows))[0]] for f in features)
+            total += np.log2(np.exp(z).sum()) - z[at] / np.log(2)
+        if code not in place:
+            word = bytes(found.data[found.start[i] : found.end[i]])
+            steps = [256, *word, 256]
+            total += sum(model.spelling[a, b] for a, b in zip(steps, steps[1:]))
+    assert maxent.bits(model, found).sum() == pytest.approx(total, rel=1e-4)
+    assert maxent.scored(spark.createDataFrame([(1, text)], DOC), model).first().bits == pytest.approx(total, rel=1e-4)
 
 
 def test_steps_add_up_equal_rows():

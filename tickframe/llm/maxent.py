@@ -1,22 +1,23 @@
 """Scores of texts by a hashed maximum-entropy language model with a class-factored softmax.
 
-Words are lower-case runs of letters and digits. Every word that the corpus has `LEAST` times has an output of its
-own; all others share the unknown word's, inside which each has the probability of its spelling, by pairs of bytes
+Words are lower-case runs of letters and digits. Every word that the corpus has often enough, `LEAST` times and once for
+every `OWN` that the root of the number of its words contains, has an output of its own; all others share the
+unknown word's, inside which each has the probability of its spelling, by pairs of bytes
 as the corpus's rare words have them. Outputs in order of frequency are the leaves of a tree: `CLASSES` classes of
 `WIDTH` places, and where words outgrow a level, its last places hold nodes of `WIDTH` places each, so that the
 number of nodes grows with the vocabulary. P(word | context) = P(class | context) * P(place | node, context) for
 each node on the way to the word, all softmaxes of the unigram log-frequency and weights of the context's features:
 the word before, the two words before, and, skipping one, the word before that; each hashed to a row of the class
-table and, with the node, to a row of the word table. A row of the word table stands for `TOKENS_A_ROW` words of
-the corpus, one of the class table for twice as many; small corpora have `WORD_ROWS` and `CLASS_ROWS`. So tables
-grow with the corpus, though contexts still share rows.
+table and, with the node, to a row of the word table. The word table has `ROOT` rows for each unit of the root of
+the number of words in the corpus, the class table half as many; small corpora have `WORD_ROWS` and `CLASS_ROWS`. So
+tables grow with the corpus, as slowly as it must be for every worker to hold them, and contexts share rows.
 
 All counts are over the whole corpus. Training passes over each document once, in `ROUNDS` parts: every task
 takes gradient steps on its documents from the weights sent out, and returns the rows that it has changed
 times how often; a row's new weights are the mean of the tasks' weights by that number, summed block by block on
-the executors. As many tasks train at once as there are cores, `TASKS` at most, as each returns up to a whole
-table. Driver and workers hold the weights, which take about 0.6 bytes a word of the corpus. Scores are the log2
-probabilities of a text's words, in batches.
+the executors. As many tasks train at once as there are cores, as each returns up to a whole
+table. So weights, and scores, depend a little on how documents lie in tasks. In training, exponentials are exact to
+about 2 %; scores use exact ones. Scores are the log2 probabilities of a text's words, in batches.
 
 Texts without words, null and empty ones too, have 0 words, 0.0 bits and null bits per word. Equal texts have
 equal scores. An empty table gives an empty result. Extra columns don't matter.
@@ -24,6 +25,7 @@ equal scores. An empty table gives an empty result. Extra columns don't matter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -34,18 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import WORD_BYTES, Rolling, column, mix, pieces, word_hashes, words
+from .text import WORD_BYTES, Rolling, column, cut, mix, pieces, word_hashes, words
 
 WIDTH = 32
 CLASSES = 16
-LEAST = 5
+LEAST, OWN = 5, 512
 CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 15
-TOKENS_A_ROW = 256
+ROOT = 16
 ROUNDS = 2
-BATCH = 8192
+BATCH = 2048
 RATE = 0.7
 BLOCKS = 256
-TASKS = 1024
 _FEATURES = 3
 _NOTHING = 1e-6
 _EDGE = 256
@@ -134,61 +135,84 @@ def word_at(features: np.ndarray, node: np.ndarray, rows: int) -> np.ndarray:
     return row_at(mix((features >> np.uint64(24)) + node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), rows)
 
 
-def softmax(z: np.ndarray) -> np.ndarray:
-    np.minimum(z, 60, out=z)  # far beyond what the weights add up to; no exponential overflows
-    np.exp(z, out=z)
+_HALF_EXP, _ONE = np.float32(2**23 / np.log(2) / 2), np.float32(1064866805)
+
+
+def roughly(z: np.ndarray) -> np.ndarray:
+    """exp(z) to 2 %, for z from -80 to 60: z shifted into the exponent of a float, for half of z and its negative."""
+    z = np.clip(z, -80, 60)
+    z *= _HALF_EXP
+    out = (z + _ONE).astype(np.int32).view(np.float32)
+    out /= (_ONE - z).astype(np.int32).view(np.float32)
+    return out
+
+
+def softmax(z: np.ndarray, rough: bool = False) -> np.ndarray:
+    if rough:
+        z = roughly(z)
+    else:
+        np.minimum(z, 60, out=z)  # far beyond what the weights add up to; no exponential overflows
+        np.exp(z, out=z)
     z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
     return z
 
 
-def classes(model: Model, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, P of each class)."""
+def class_scores(model: Model, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, exponents of each class)."""
     at = row_at(features, len(model.class_rows))
-    z = model.class_rows.take(at[0], axis=0)
+    z = model.class_rows.take(at[0], axis=0, mode="clip")
     for f in range(1, _FEATURES):
-        z += model.class_rows.take(at[f], axis=0)
+        z += model.class_rows.take(at[f], axis=0, mode="clip")
     z += model.class_bias
-    return at, softmax(z)
+    return at, z
 
 
-def places(model: Model, features: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, P of each place in the node)."""
+def place_scores(model: Model, features: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, exponents of each place in the node)."""
     at = word_at(features, node, len(model.word_rows))
-    z = model.word_rows.take(at[0], axis=0)
+    z = model.word_rows.take(at[0], axis=0, mode="clip")
     for f in range(1, _FEATURES):
-        z += model.word_rows.take(at[f], axis=0)
-    z += model.word_bias.take(node, axis=0)
-    return at, softmax(z)
+        z += model.word_rows.take(at[f], axis=0, mode="clip")
+    z += model.word_bias.take(node, axis=0, mode="clip")
+    return at, z
 
 
 def forward(model: Model, features: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(rows of classes, rows of words, P of each class, P of each place in the group)."""
-    (a, of_class), (b, of_place) = classes(model, features), places(model, features, group)
-    return a, b, of_class, of_place
+    (a, of_class), (b, of_place) = class_scores(model, features), place_scores(model, features, group)
+    return a, b, softmax(of_class), softmax(of_place)
+
+
+def cost(z: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Bits of one choice in each line of exponents."""
+    np.minimum(z, 60, out=z)
+    own = z[np.arange(len(z)), which].astype(np.float64)
+    np.exp(z, out=z)
+    return np.minimum((np.log((z @ np.ones(z.shape[1], np.float32)).astype(np.float64)) - own) / np.log(2), 100)
 
 
 def step(rows: np.ndarray, used: np.ndarray, at: np.ndarray, gradient: np.ndarray) -> None:
     """One descent step on the rows that a batch has used; gradient has a line for each column of at."""
     flat = at.reshape(-1)
-    order = np.argsort((flat & 0xFFFF).astype(np.uint16), kind="stable")  # numbers of 16 bits are sorted by radix
-    if flat.dtype.itemsize > 2:
-        order = order[np.argsort((flat >> 16).astype(np.uint16)[order], kind="stable")]
-    ranked = flat[order]
+    packed = np.sort(flat.astype(np.int64) << 24 | np.arange(len(flat)))
+    ranked, order = packed >> 24, packed & 0xFFFFFF
     heads = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
     count = np.diff(np.r_[heads, len(ranked)])
     line = order % gradient.shape[0]
-    total = gradient.take(line[heads], axis=0)
+    total = gradient.take(line[heads], axis=0, mode="clip")
     few = np.flatnonzero((count > 1) & (count <= 16))
     for k in range(1, 16):  # most rows are used once or twice in a batch
         few = few[count[few] > k]
         if not len(few):
             break
-        total[few] += gradient.take(line[heads[few] + k], axis=0)
+        total[few] += gradient.take(line[heads[few] + k], axis=0, mode="clip")
     for r in np.flatnonzero(count > 16).tolist():
-        total[r] = gradient.take(line[heads[r] : heads[r] + count[r]], axis=0).sum(0)
+        total[r] = gradient.take(line[heads[r] : heads[r] + count[r]], axis=0, mode="clip").sum(0)
     which = ranked[heads]
-    total *= (RATE / (count + 4.0)).astype(np.float32)[:, None]
-    rows[which] = rows.take(which, axis=0) - total
+    total *= (-RATE / (count + 4.0)).astype(np.float32)[:, None]
+    total += rows.take(which, axis=0, mode="clip")
+    whole = f"V{rows.shape[1] * rows.itemsize}"  # rows are put as one item each
+    np.put(rows.view(whole).reshape(-1), which, total.view(whole).reshape(-1), mode="clip")
     used[which] += count
 
 
@@ -245,35 +269,12 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.select(column(docs, "text")).mapInArrow(counted, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def rare(docs: DataFrame, known: np.ndarray) -> np.ndarray:
-    """Pairs of bytes in the words that aren't known."""
-    sent = docs.sparkSession.sparkContext.broadcast(Model(known, np.ones(len(known), np.int64), *[np.zeros(0)] * 4))
-
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, total = Rolling(), np.zeros((_EDGE + 1, _EDGE + 1), np.int64)
-        for batch in batches:
-            for t in tokens(rolling, batch.column(0)):
-                some = np.flatnonzero(sent.value.outputs(t.codes) == 0)
-                if len(some):
-                    total += t.pairs(some)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.reshape(-1)[at])], ["at", "n"])
-
-    found = docs.select(column(docs, "text")).mapInArrow(paired, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros((_EDGE + 1) ** 2)
-    out[found["at"].to_numpy()] = found["n"].to_numpy()
-    sent.unpersist()
-    return out.reshape(_EDGE + 1, _EDGE + 1)
-
-
 def started(docs: DataFrame) -> Model:
     """The model of single words."""
-    found = counts(docs).persist()
-    try:
-        own = found.where(F.col("n") >= LEAST).toArrow()
-        others = found.where(F.col("n") < LEAST).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    finally:
-        found.unpersist()
+    found = cut(counts(docs))
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    own = found.where(F.col("n") >= max(LEAST, math.isqrt(total) // OWN)).toArrow()
+    others = total - int(np.sum(own["n"].to_numpy()))
     codes, n = own["h"].to_numpy().view(np.uint64), own["n"].to_numpy()
     order = np.lexsort((codes, -n))
     codes, n = codes[order], n[order].astype(np.float64)
@@ -289,43 +290,50 @@ def started(docs: DataFrame) -> Model:
         end = low
     top = by[:CLASSES].sum(1)
     share, within = np.log(top / top.sum()), np.log(by / by.sum(1, keepdims=True))
-    sorted_, total = np.argsort(codes), int(n.sum() + others)
-    class_rows = np.zeros((max(CLASS_ROWS, total // (2 * TOKENS_A_ROW)), CLASSES), np.float32)
-    word_rows = np.zeros((max(WORD_ROWS, total // TOKENS_A_ROW), WIDTH), np.float32)
+    sorted_, rows = np.argsort(codes), ROOT * math.isqrt(total)
+    class_rows = np.zeros((max(CLASS_ROWS, rows // 2), CLASSES), np.float32)
+    word_rows = np.zeros((max(WORD_ROWS, rows), WIDTH), np.float32)
     output = np.delete(where, unknown)[sorted_].astype(np.int32)
-    return Model(codes[sorted_], output, share.astype(np.float32), within.astype(np.float32), class_rows, word_rows, above, int(where[unknown]), letters(rare(docs, codes[sorted_])))
+    return Model(codes[sorted_], output, share.astype(np.float32), within.astype(np.float32), class_rows, word_rows, above, int(where[unknown]))
 
 
-def learn(model: Model, rolling: Rolling, texts: Iterator[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient steps over texts in place; how often each row of the two tables was used."""
-    used_c, used_w = np.zeros(len(model.class_rows)), np.zeros(len(model.word_rows))
+def learn(model: Model, rolling: Rolling, texts: Iterator[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradient steps over texts in place; how often each row of the two tables was used, and the pairs of bytes in the
+    words without an output."""
+    used_c, used_w, pairs = np.zeros(len(model.class_rows)), np.zeros(len(model.word_rows)), np.zeros((_EDGE + 1, _EDGE + 1))
     for batch in texts:
         for t in tokens(rolling, batch):
             target, features = model.outputs(t.codes), contexts(t.codes, t.owner)
+            strange = np.flatnonzero(target == model.unknown)
+            if len(strange):
+                pairs += t.pairs(strange)
             for i in range(0, len(target), BATCH):
                 some = features[:, i : i + BATCH]
                 top, line, node, place = model.walk(target[i : i + BATCH])
-                (a, of_class), (b, of_place) = classes(model, some), places(model, some[:, line], node)
+                (a, of_class), (b, of_place) = class_scores(model, some), place_scores(model, some[:, line], node)
+                of_class, of_place = softmax(of_class, True), softmax(of_place, True)
                 of_class[np.arange(len(top)), top] -= 1
                 of_place[np.arange(len(node)), place] -= 1
                 step(model.class_rows, used_c, a, of_class)
                 step(model.word_rows, used_w, b, of_place)
-    return used_c, used_w
+    return used_c, used_w, pairs
 
 
 def trained(docs: DataFrame) -> Model:
     spark = docs.sparkSession
     model = started(docs)
     texts = docs.select(column(docs, "text").alias("text"), F.pmod(F.xxhash64(column(docs, "doc_id")), F.lit(ROUNDS)).alias("part"))
+    pairs = np.zeros((_EDGE + 1, _EDGE + 1))
     for part in range(ROUNDS):
         sent = spark.sparkContext.broadcast(model)
 
         def worked(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = sent.value
             own = replace(own, class_rows=own.class_rows.copy(), word_rows=own.word_rows.copy())
-            used = learn(own, Rolling(), (b.column(0) for b in batches))
+            *used, strange = learn(own, Rolling(), (b.column(0) for b in batches))
             if not used[0].any():
                 return
+            yield pa.RecordBatch.from_arrays([pa.array([BLOCKS], pa.int32()), pa.array([strange.astype(np.float32).tobytes()], pa.binary())], ["block", "sums"])
             for b in range(BLOCKS):
                 packed = []
                 for rows, n in zip((own.class_rows, own.word_rows), used):
@@ -342,10 +350,13 @@ def trained(docs: DataFrame) -> Model:
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["block", "sums"])
 
-        own = texts.where(F.col("part") == part).select("text").coalesce(max(1, min(TASKS, spark.sparkContext.defaultParallelism)))
+        own = texts.where(F.col("part") == part).select("text").coalesce(max(1, spark.sparkContext.defaultParallelism))
         sums = own.mapInArrow(worked, "block int, sums binary").repartition("block").mapInArrow(added, "block int, sums binary").toArrow()
         for b, packed in zip(sums["block"].to_pylist(), sums["sums"]):
             packed, at = np.frombuffer(packed.as_buffer(), np.float32), 0
+            if b == BLOCKS:
+                pairs += packed.reshape(pairs.shape)
+                continue
             for rows in (model.class_rows, model.word_rows):
                 low, high = b * len(rows) // BLOCKS, (b + 1) * len(rows) // BLOCKS
                 size = (high - low) * rows.shape[1]
@@ -353,6 +364,7 @@ def trained(docs: DataFrame) -> Model:
                 at += size + high - low
                 rows[low:high] = np.where(n[:, None] > 0, w / np.maximum(n, 1)[:, None], rows[low:high])
         sent.unpersist()
+    model.spelling = letters(pairs)
     return model
 
 
@@ -363,9 +375,8 @@ def bits(model: Model, found: Tokens) -> np.ndarray:
     for i in range(0, len(target), BATCH):
         some = features[:, i : i + BATCH]
         top, line, node, place = model.walk(target[i : i + BATCH])
-        (_, of_class), (_, of_place) = classes(model, some), places(model, some[:, line], node)
-        way = -np.log2(np.maximum(of_place[np.arange(len(node)), place].astype(np.float64), 1e-30))
-        out[i : i + BATCH] = np.bincount(line, way, len(top)) - np.log2(np.maximum(of_class[np.arange(len(top)), top].astype(np.float64), 1e-30))
+        (_, of_class), (_, of_place) = class_scores(model, some), place_scores(model, some[:, line], node)
+        out[i : i + BATCH] = np.bincount(line, cost(of_place, place), len(top)) + cost(of_class, top)
     strange = np.flatnonzero(target == model.unknown)
     if len(strange):
         out[strange] += found.spelt(model.spelling, strange)
