@@ -126,3 +126,42 @@ def test_files(spark, tmp_path):
     assert formats.read_json(spark, str(tmp_path / "j"), df.schema).count() == 2
     assert formats.read_lines(spark, str(tmp_path / "j")).count() == 2
     assert formats.read_bytes(spark, str(tmp_path / "j")).where("length > 0").count() >= 1
+
+
+def test_final_merges_on_read(s):
+    s.run("CREATE TABLE r (k Int64, v String, ver Int64) ENGINE = ReplacingMergeTree(ver) ORDER BY k; INSERT INTO r (k, v, ver) VALUES (1, 'a', 1), (2, 'x', 1); INSERT INTO r (k, v, ver) VALUES (1, 'b', 2)")
+    assert shown(s, "SELECT k, v FROM r FINAL ORDER BY k") == "1\tb\n2\tx\n" and single(s.query("SELECT count() FROM r")) == 3
+    assert shown(s, "SELECT a.k, b.v FROM r AS a FINAL JOIN r AS b FINAL ON a.k = b.k WHERE a.v = 'b'") == "1\tb\n"
+    s.run("CREATE TABLE c (k Int64, sign Int8, v String) ENGINE = CollapsingMergeTree(sign) ORDER BY k; INSERT INTO c (k, sign, v) VALUES (1, 1, 'open'), (1, -1, 'open'), (2, 1, 'keep')")
+    assert shown(s, "SELECT k, sign, v FROM c FINAL") == "2\t1\tkeep\n"
+    s.run("CREATE TABLE g (k String, t AggregateFunction(sum, Float64)) ENGINE = AggregatingMergeTree ORDER BY k; INSERT INTO g (k, t) VALUES ('m', sumState(1.5)), ('m', sumState(2.0))")
+    assert shown(s, "SELECT k, t FROM g FINAL") == "m\t3.5\n"
+    s.run("OPTIMIZE TABLE r FINAL; OPTIMIZE TABLE c")
+    assert single(s.query("SELECT count() FROM r")) == 2 and single(s.query("SELECT count() FROM c")) == 3
+    s.run("CREATE TABLE n (k Int64) ENGINE = ReplacingMergeTree ORDER BY k; INSERT INTO n (k) VALUES (1)")
+    with pytest.raises(CatalogError):
+        s.query("SELECT k FROM n FINAL")
+
+
+@pytest.mark.parametrize("where, rows", [("toYYYYMM(ts) = 202406", 2), ("ts >= '2024-06-01 12:00:00'", 1), ("ts BETWEEN toDateTime64('2024-05-01 00:00:00', 6) AND toDateTime64('2024-05-31 00:00:00', 6) AND k > 0", 1), ("k = 2 AND ts < '2024-05-02 00:00:00'", 0)])
+def test_partitions_are_pruned(s, where, rows):
+    s.run("CREATE TABLE a (k Int64, ts DateTime64(6)) ENGINE = MergeTree PARTITION BY toYYYYMM(ts) ORDER BY k; INSERT INTO a (k, ts) VALUES (1, '2024-05-01 00:00:00'), (2, '2024-06-01 00:00:00')")
+    s.run("INSERT INTO a (k, ts) VALUES (3, '2024-06-02 00:00:00')")
+    df = s.query(f"SELECT k, ts FROM a WHERE {where}")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == rows and "PartitionFilters: [isnotnull(__part" in plan and df.columns == ["k", "ts"]
+    assert single(s.query(f"SELECT count() FROM a WHERE {where}")) == rows
+    assert s.query("SELECT k FROM a WHERE ts > '2024-06-01 12:00:00' OR k = 1").count() == 2
+
+
+def test_changes_rewrite_only_the_pieces_that_hold_matches(s):
+    s.run("CREATE TABLE m (k Int64, v String) ENGINE = MergeTree ORDER BY k; INSERT INTO m (k, v) VALUES (1, 'a'), (2, 'b'); INSERT INTO m (k, v) VALUES (3, 'c'); INSERT INTO m (k, v) VALUES (4, 'd')")
+    before = [p["path"] for p in s.store.table("m").pieces]
+    assert s.execute("UPDATE m SET v = 'z' WHERE k = 3") == 1
+    after = [p["path"] for p in s.store.table("m").pieces]
+    assert set(before) - set(after) == {before[1]} and len(after) == 3
+    assert s.execute("ALTER TABLE m DELETE WHERE k = 4") == 1 and len(s.store.table("m").pieces) == 2
+    assert s.execute("DELETE FROM m WHERE k = 99") == 0 and shown(s, "SELECT k, v FROM m ORDER BY k") == "1\ta\n2\tb\n3\tz\n"
+    s.run("OPTIMIZE TABLE m")
+    assert len(s.store.table("m").pieces) == 1
+    assert s.store.vacuum() == 5 and shown(s, "SELECT k, v FROM m ORDER BY k") == "1\ta\n2\tb\n3\tz\n" and Session(s.spark, s.store.root).store.df("m").count() == 3

@@ -111,11 +111,8 @@ def update(store: Store, name: str, assignments: dict[str, object], where: predi
         literal = F.lit(value)
         fitted = c.kind.checked(_fitted(literal, T.NullType() if value is None else _spark_of(value), c), c.name)
         new[c.name] = F.when(chosen, fitted).otherwise(F.col(f"`{c.name}`"))
-    changed = rows.where(chosen).count()
-    out = rows.withColumns(new)
     computed = {c.name: F.expr(c.materialized).cast(c.kind.spark) for c in spec.columns if c.materialized is not None}
-    store.replace(name, out.withColumns(computed) if computed else out, lsn)
-    return changed
+    return store.changed(name, chosen, lambda df: df.withColumns(new).withColumns(computed) if computed else df.withColumns(new), lsn)
 
 
 def _spark_of(value: object) -> T.DataType:
@@ -132,9 +129,7 @@ def delete(store: Store, name: str, where: predicate.Expr | None = None, lsn: in
         store.replace(name, None, lsn)
         return gone
     chosen = predicate.compiled(where, rows.schema, predicate.Mode.DELETE, store.suspect(name))
-    gone = rows.where(chosen).count()
-    store.replace(name, rows.where(~chosen), lsn)
-    return gone
+    return store.changed(name, chosen, lambda df: df.where(~chosen), lsn)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

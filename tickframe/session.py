@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import dml, engines
@@ -80,16 +80,74 @@ class Session:
             rows = engines.unexpired(rows, m.group(1), int(m.group(2)), F.current_timestamp().cast("timestamp_ntz"))
         return rows
 
-    def _registered(self, sql: str) -> None:
+    def final(self, name: str) -> DataFrame:
+        """A table with its rows merged as its engine merges them: the last version of a key, what signs leave, summed
+        states. Tables that merge nothing are as they are."""
+        rows, spec = self.df(name), self.store.table(name)
+        engine = re.match(r"(\w*?)(Replacing|Collapsing|Aggregating)MergeTree\s*(?:\(\s*`?(\w*)`?\s*\))?", spec.properties.get("engine", ""))
+        if not engine:
+            return rows
+        keys = [spec.column(k.strip().strip("`")).name for k in spec.properties.get("order_by", "").split(",") if k.strip()]
+        if not keys:
+            raise CatalogError(f"{name} has no key to merge by")
+        kind, by = engine.group(2), engine.group(3)
+        rest = [c for c in rows.columns if c not in keys]
+        if kind == "Aggregating":
+            states = {c.name for c in spec.columns if c.type.startswith(("AggregateFunction", "SimpleAggregateFunction"))}
+            return rows.groupBy(*keys).agg(*((F.sum(c) if c in states else F.any_value(c)).alias(c) for c in rest)).select(*rows.columns)
+        if not by:
+            raise CatalogError(f"{name} has no column of versions, so no row of a key is the last")
+        by = spec.column(by).name
+        if kind == "Replacing":
+            return engines.replacing(rows, keys, [by, *(c for c in rest if c != by)])
+        last = rows.withColumn("__row", F.struct(*(c for c in rest if c != by)))
+        merged = engines.collapsing(last, keys, by, "__row").withColumn(by, F.lit(1).cast(rows.schema[by].dataType))
+        return merged.select(*rows.columns)
+
+    def _registered(self, sql: str, text: str = "") -> None:
         words = set(re.findall(r"[\w.]+", sql))
         for _ in range(len(self.views) + 1):  # views of views
             words |= {w for v in self.views if v in words for w in re.findall(r"[\w.]+", self.views[v])}
         for name in self.store.tables:
+            view = name.replace(".", "__")
+            if name in words or view in words:
+                rows = self.df(name)
+                if (part := self._part(name, sql)) is not None:
+                    rows = self.store.df(name, part)
+                rows.createOrReplaceTempView(view)
+            if f"{view}__final" in text or f"{view}__final" in words:
+                self.final(name).createOrReplaceTempView(f"{view}__final")
+        for name, text_ in self.views.items():
             if name in words:
-                self.df(name).createOrReplaceTempView(name.replace(".", "__"))
-        for name, text in self.views.items():
-            if name in words:
-                self.spark.sql(text).createOrReplaceTempView(name)
+                self.spark.sql(text_).createOrReplaceTempView(name)
+
+    def _part(self, name: str, sql: str) -> Column | None:
+        """What a query of this one table says of the value that it is partitioned by, so that folders are pruned: comparisons
+        with literals of the partition's expression, or of the column under a function of it that never falls."""
+        by = self.store.table(name).partition_by
+        m = re.fullmatch(r"\s*SELECT\b(?:(?!\b(?:FROM|SELECT)\b).)*\bFROM\s+`?([\w.]+)`?\s+WHERE\s+((?:(?!\b(?:SELECT|UNION|JOIN|OR|NOT)\b).)*?)(?:\b(?:GROUP|ORDER|LIMIT|HAVING|FORMAT|SETTINGS)\b(?:(?!\b(?:SELECT|UNION|JOIN)\b).)*)?", sql, re.I | re.S)
+        if not by or not m or m.group(1) != name or name in self.buffers or "ttl" in self.store.table(name).properties:
+            return None
+        of = re.fullmatch(r"(?:(toYYYYMM|toDate|toYear|toStartOfMonth)\s*\(\s*)?`?(\w+)`?\s*\)?", by)
+        literal = r"(?:[-+]?\d+(?:\.\d+)?|'[^']*'|toDateTime64\('[^']*',\s*\d\)|toDateTime\('[^']*'\)|toDate\('[^']*'\))"
+        out = None
+        bounds = re.sub(rf"(\S+)\s+BETWEEN\s+({literal})\s+AND\s+({literal})", r"\1 >= \2 AND \1 <= \3", m.group(2), flags=re.I | re.S)
+        for test in re.split(r"\bAND\b", bounds, flags=re.I):
+            c = re.fullmatch(rf"\s*(.+?)\s*(<=|>=|=|<|>)\s*({literal})\s*", test, re.S)
+            if not c:
+                continue
+            left, sign, value = c.groups()
+            part, of_value = F.col("__part"), F.expr(dialect.expression(value))
+            if re.sub(r"\s", "", left) == re.sub(r"\s", "", by) and not (of and not of.group(1)):
+                found = {"=": part == of_value, "<": part < of_value, "<=": part <= of_value, ">": part > of_value, ">=": part >= of_value}[sign]
+            elif of and left.strip("`") == of.group(2):
+                kind = self.store.table(name).column(of.group(2)).kind.spark.simpleString()
+                end = F.expr(dialect.expression(by.replace(of.group(2), f"cast({dialect.expression(value)} as {kind})")))
+                found = part == end if sign == "=" else part <= end if "<" in sign else part >= end
+            else:
+                continue
+            out = found if out is None else out & found
+        return out
 
     def _translated(self, sql: str) -> tuple[str, str | None]:
         dotted = {c.name for t in self.store.tables.values() for c in t.columns if "." in c.name}
@@ -107,7 +165,7 @@ class Session:
 
     def query(self, sql: str) -> DataFrame:
         text, _ = self._translated(sql)
-        self._registered(sql)
+        self._registered(sql, text)
         return self.spark.sql(text)
 
     def strict(self, sql: str) -> DataFrame:
@@ -138,7 +196,7 @@ class Session:
         sql = sql.strip().rstrip(";").strip()
         head = re.match(r"\w+", sql)
         verb = head.group().upper() if head else ""
-        do = {"CREATE": self._create, "DROP": self._drop, "INSERT": self._insert, "ALTER": self._alter, "RENAME": self._rename, "UPDATE": self._update, "DELETE": self._delete, "TRUNCATE": self._truncate}.get(verb)
+        do = {"CREATE": self._create, "DROP": self._drop, "INSERT": self._insert, "ALTER": self._alter, "RENAME": self._rename, "UPDATE": self._update, "DELETE": self._delete, "TRUNCATE": self._truncate, "OPTIMIZE": self._optimize}.get(verb)
         if do:
             return do(sql)
         if verb in ("SELECT", "WITH"):
@@ -259,10 +317,7 @@ class Session:
             return self._mutate(name, a.group(1), a.group(2))
         elif a := re.fullmatch(r"DELETE\s+WHERE\s+(.*)", what, re.I | re.S):
             chosen = F.coalesce(F.expr(dialect.expression(a.group(1))).cast("boolean"), F.lit(False))
-            rows = self.store.df(name)
-            gone = rows.where(chosen).count()
-            self.store.replace(name, rows.where(~chosen))
-            return gone
+            return self.store.changed(name, chosen, lambda df: df.where(~chosen))
         else:
             raise SqlError(f"can't read {what[:60]}")
         return None
@@ -270,15 +325,13 @@ class Session:
     def _mutate(self, name: str, assignments: str, where: str) -> int:
         """A mutation: expressions on the right, SQL's logic in the condition."""
         chosen = F.coalesce(F.expr(dialect.expression(where)).cast("boolean"), F.lit(False))
-        spec, rows = self.store.table(name), self.store.df(name)
+        spec = self.store.table(name)
         new = {}
         for part in split_top(assignments):
             column, _, text = part.partition("=")
             c = spec.column(column.strip().strip("`"))
             new[c.name] = F.when(chosen, c.kind.checked(F.expr(dialect.expression(text)).cast(c.kind.spark), c.name)).otherwise(F.col(f"`{c.name}`"))
-        changed = rows.where(chosen).count()
-        self.store.replace(name, rows.withColumns(new))
-        return changed
+        return self.store.changed(name, chosen, lambda df: df.withColumns(new))
 
     def _update(self, sql: str) -> int:
         m = self._match(r"UPDATE\s+([\w.`]+)\s+SET\s+(.*)", sql)
@@ -308,6 +361,17 @@ class Session:
                 raise SqlError(f"can't read {m.group(2)}")
         return dml.delete(self.store, m.group(1).strip("`"), where)
 
+    def _optimize(self, sql: str) -> None:
+        """Merges a table for good."""
+        m = self._match(r"OPTIMIZE\s+TABLE\s+([\w.`]+)(\s+FINAL)?", sql)
+        name = m.group(1).strip("`")
+        if name in self.buffers:
+            self.buffers[name].flush()
+        elif m.group(2):
+            self.store.replace(name, self.final(name))
+        else:
+            self.store.compact(name)
+
     def _truncate(self, sql: str) -> int:
         m = self._match(r"TRUNCATE\s+TABLE\s+([\w.`]+)", sql)
         return dml.delete(self.store, m.group(1).strip("`"))
