@@ -324,6 +324,68 @@ def test_chats(spark):
     assert got[(3, 2, 1)].turns == [1, None] and quotes.formatted(df.limit(0)).count() == 0
 
 
+def test_links_against_brute_force(spark):
+    """Random threads that quote each other over several levels; every pair of messages is compared."""
+    rng = random.Random(3)
+    sentences = [" ".join(rng.choice("red blue green tall small round old new".split()) + str(rng.randrange(30)) for _ in range(rng.randint(1, 6))) + "." for _ in range(40)]
+    rows, expected, own_text = [], {}, {}
+    for conv in range(25):
+        thread = []
+        for place in range(1, rng.randint(2, 9)):
+            said = [(0, rng.choice(sentences)) for _ in range(rng.randint(0, 3))]
+            quoted = []
+            for _ in range(rng.randint(0, 2) if thread else 0):
+                other = rng.choice(thread)
+                some = rng.sample(other, min(len(other), rng.randint(1, 3)))
+                quoted += [(level + 1, x) for level, x in some]
+            if rng.random() < 0.2:
+                quoted.append((rng.randint(1, 3), rng.choice(sentences)))
+            thread.append(said + quoted)
+            text = "\n\n".join((">" * level + " " if level else "") + x for level, x in quoted + said)
+            rows.append((conv, place, "r", text))
+            best = (0, 0, 0)
+            for by, before in enumerate(thread[:-1], 1):
+                there = set(before)
+                hits = [(level, len(" ".join(re.findall(r"\w+", x)))) for level, x in quoted if (level - 1, x) in there]
+                if hits:
+                    best = max(best, (sum(n for level, n in hits if level == 1), sum(n for _, n in hits), by))
+            expected[conv, place] = (best[2] or place - 1, best[2] > 0)
+            own_text[conv, place] = "\n\n".join(x for _, x in said)
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    got = {(r.conv, r.place): (r.answers, r.linked) for r in quotes.linked(df).collect()}
+    assert got == expected and sum(linked for _, linked in got.values()) > 40
+    assert {(r.conv, r.place): r.own for r in quotes.linked(df).collect()} == own_text
+    for r in quotes.formatted(df).collect():
+        children, order = {}, []
+        for (conv, place), (answers, _) in sorted(expected.items()):
+            if conv == r.conv_id:
+                children.setdefault(answers, []).append(place)
+        todo = [0]
+        while todo:
+            at = todo.pop()
+            order += [at] if at else []
+            todo += children.get(at, [])[::-1]
+        assert r.turns == order
+
+
+def test_deeper_quotes_link_where_the_first_level_does_not(spark):
+    rows = [(1, 1, "a", "The first point stands."), (1, 2, "b", "> The first point stands.\n\nI doubt that."), (1, 3, "c", "Something else."), (1, 4, "d", ">> The first point stands.\n\nSo do I.")]
+    got = {r.place: (r.answers, r.linked) for r in quotes.linked(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).collect()}
+    assert got == {1: (0, False), 2: (1, True), 3: (2, False), 4: (2, True)}
+
+
+def test_rows_without_a_conversation_are_told_apart(spark):
+    rows = [(None, None, "a", None), (None, None, None, "a"), (None, 1, "a", None), (None, 1, "a", None)]
+    got = quotes.formatted(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).collect()
+    assert sorted(r.messages for r in got) == [1, 1, 2]
+
+
+def test_announcing_lines_of_any_length(spark):
+    long_ = "On " + "a very long day " * 40 + ", somebody with a " + "long " * 50 + "name\nwrote:\n> what was said\nyes"
+    wide = "x" * 300 + " wrote:\n> what was said\nyes"
+    assert quotes.parsed(long_)[0] == quotes.parsed(wide)[0] == "yes"
+
+
 def test_quotes_round_trip():
     """Messages quoted and wrapped anew at any level keep their own text and their sentences."""
     rng = random.Random(9)
