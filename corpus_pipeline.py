@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickframe.llm import decontam, mixing, quality, shard, simhash
 from tickframe.llm.text import shared_folder, table
+from tickframe.scratch import removed
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -55,11 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents through all stages."""
+    """documents through all stages. What a stage has written goes once the next one has been written."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{i}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if i:
+            removed(spark, f"{folder}/{i - 1}")
     return docs
