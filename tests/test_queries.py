@@ -129,6 +129,16 @@ def test_as_of_takes_the_last_earlier_row(spark):
     assert got == {1: None, 2: 2.0, 3: None}
 
 
+def test_parts_of_time_carry_over(spark):
+    left = spark.createDataFrame([(1, "a", 10), (2, "a", 5), (3, "b", 7), (4, None, 30), (5, "a", 39)], "id int, k string, t int")
+    right = spark.createDataFrame([("a", 5, 1, 1.0), ("a", 5, 2, 2.0), ("a", 11, 3, 3.0), (None, 2, 5, 5.0)], "k string, t int, tie int, v double")
+    whole, parts = ({r.id: r.asof_v for r in joins.as_of(left, right, ["k"], "t", ["v"], "tie", inner=False, split=f).collect()} for f in (None, lambda x: F.floor(x / 4)))
+    assert whole == parts == {1: 2.0, 2: 2.0, 3: None, 4: 5.0, 5: 3.0}
+    df = spark.createDataFrame([("a", i, i if i % 5 else None) for i in range(30)] + [(None, 3, 7)], "k string, t int, v int")
+    one, many = (sorted(map(tuple, ordered.running_sum(df, F.col("v"), ["k"], ["t"], split=x).collect()), key=repr) for x in (None, F.floor(F.col("t") / 4)))
+    assert one == many and len(one) == 31
+
+
 def test_lcg_and_scalars(spark):
     got = [r.i for r in spark.range(5).select(scalars.lcg_index(F.col("id"), 1000).alias("i")).collect()]
     assert got == [((0x123456789ABCDEF0 + 6364136223846793005 * i) % (1 << 64) >> 33) % 1000 for i in range(5)]

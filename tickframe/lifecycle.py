@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import dml
+from .operators import dml, joins, ordered
 from .plans.predicate import Compare, Literal, Name
 from .queries import folder, query, store, t
 from .session import Session
@@ -301,3 +301,22 @@ def ticks_as_micros(spark, sf_dir):
     rows = t(spark, sf_dir, "events").where("event_id < 600").select("event_type", "ts")
     dml.insert(s.store, "ticks", s._aliased("ticks", rows), with_defaults=True)
     return s.query("SELECT event_type, count() AS rows, min(ts_micros) AS first, max(ts_micros) AS last FROM ticks GROUP BY event_type ORDER BY event_type")
+
+
+# Large keys by parts of time
+
+
+@query(
+    "select e.event_id, arg_max(q.value, (q.ts, q.event_id)) as v from events e join events q on e.user_id = q.user_id and q.event_type = 'signup' and q.ts <= e.ts where e.event_type = 'error' group by 1"
+)
+def asof_by_day(spark, sf_dir):
+    events = t(spark, sf_dir, "events")
+    errors, signups = (events.where(F.col("event_type") == k).select("event_id", "user_id", "ts", "value") for k in ("error", "signup"))
+    found = joins.as_of(errors.drop("value"), signups, ["user_id"], "ts", ["value"], "event_id", split=lambda x: F.date_trunc("day", x))
+    return found.select("event_id", F.col("asof_value").alias("v"))
+
+
+@query("select event_id, round(sum(value) over (partition by event_type order by ts, event_id rows unbounded preceding), 4) as running from events")
+def running_sum_by_day(spark, sf_dir):
+    events = t(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
+    return ordered.running_sum(events, F.col("value"), ["event_type"], ["ts", "event_id"], "running", F.date_trunc("day", F.col("ts"))).select("event_id", F.round("running", 4).alias("running"))

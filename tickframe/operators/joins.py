@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,14 +34,27 @@ def keyed(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     return joined.select(*shown, *(F.col(f"__{c}").alias(c) for c in new))
 
 
-def as_of(left_: DataFrame, right: DataFrame, by: Sequence[str], time: str, value: Sequence[str], tie: str, inner: bool = True) -> DataFrame:
+def as_of(left_: DataFrame, right: DataFrame, by: Sequence[str], time: str, value: Sequence[str], tie: str, inner: bool = True, split: Callable[[Column], Column] | None = None) -> DataFrame:
     """Rows of left_ with the values of the last row of right of the same keys that isn't later (the higher tie
-    if equally late). Both sides in one sort by key and time: no row meets more than its predecessor."""
+    if equally late). Both sides in one sort by key and time: no row meets more than its predecessor.
+
+    split: a function of the time that never falls, such as its day. A key's times are then searched by these parts,
+    apart, and what a part begins with is carried over from the ones before it, a row a part: for keys that are too
+    large for a task."""
     kept = [c for c in left_.columns if c not in by and c != time]
     l_ = left_.select(*by, F.col(time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema[tie].dataType).alias("__tie"), F.struct(*kept).alias("__row"), F.lit(None).cast(right.select(F.struct(*value)).schema[0].dataType).alias("__value"))
     r_ = right.select(*by, F.col(time).alias("__t"), F.lit(0).alias("__side"), F.col(tie).alias("__tie"), F.lit(None).cast(l_.schema["__row"].dataType).alias("__row"), F.struct(*value).alias("__value"))
-    order = Window.partitionBy(*by).orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    out = l_.unionByName(r_).withColumn("__value", F.last("__value", ignorenulls=True).over(order)).where("__side = 1")
+    both, parts = l_.unionByName(r_), list(by)
+    if split is not None:
+        both, parts = both.withColumn("__part", split(F.col("__t"))), [*by, "__part"]
+    order = Window.partitionBy(*parts).orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("__value", F.last("__value", ignorenulls=True).over(order)).where("__side = 1")
+    if split is not None:
+        last = both.groupBy(*parts).agg(F.max_by("__value", F.when(F.col("__side") == 0, F.struct("__t", "__tie"))).alias("__last"))
+        earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        carried = last.select(*(F.col(p).alias(f"__of_{p}") for p in parts), F.last("__last", ignorenulls=True).over(earlier).alias("__carried"))
+        on = [out[p].eqNullSafe(F.col(f"__of_{p}")) for p in parts]
+        out = out.join(carried, reduce(and_, on), "left").withColumn("__value", F.coalesce("__value", "__carried"))
     if inner:
         out = out.where("__value is not null")
     return out.select(*by, F.col("__t").alias(time), *(F.col("__row")[c].alias(c) for c in kept), *(F.col("__value")[c].alias(f"asof_{c}") for c in value))

@@ -7,6 +7,8 @@ add up whole tables by ranges of the order, written once, instead of pulling eve
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -92,6 +94,24 @@ def running_total(df: DataFrame, x: Column, order: Sequence[str], name: str = "t
     return summed.withColumn(name, F.col(before) + F.col(inside)).drop(part, value, inside, before)
 
 
+def running_sum(df: DataFrame, x: Column, by: Sequence[str], order: Sequence[str], name: str = "total", split: Column | None = None) -> DataFrame:
+    """df with the sum of x up to each row of its key. split: an expression that never falls in the order, such as the
+    day; a key's rows are then added up by these parts, and the sums of the parts before come on top, so that no task
+    holds all of a large key."""
+    if split is None:
+        return df.withColumn(name, F.sum(x).over(upto(by, order)))
+    part, value, inside, before = _unused(df, "__part", "__x", "__in", "__before")
+    parted = df.withColumn(part, split).withColumn(value, x)
+    sums = parted.groupBy(*by, part).agg(F.sum(value).alias(before))
+    earlier = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [f"{k}_of" for k in (*by, part)]
+    sums = sums.select(*(F.col(k).alias(f"{k}_of") for k in (*by, part)), F.sum(before).over(earlier).alias(before))
+    out = parted.withColumn(inside, F.sum(value).over(upto([*by, part], order)))
+    on = [out[k].eqNullSafe(F.col(f"{k}_of")) for k in (*by, part)]
+    total = F.when(F.col(before).isNull(), F.col(inside)).otherwise(F.col(before) + F.coalesce(F.col(inside), F.lit(0)))
+    return out.join(sums, reduce(and_, on), "left").withColumn(name, total).drop(part, value, inside, before, *keys)
+
+
 def reversed_pairs(df: DataFrame, order: Sequence[str], value: str, position: str = "i") -> DataFrame:
     """(position, value): the vector read backwards."""
     return positions(df.select(*dict.fromkeys([*order, value])), order, position, descending=True).select(position, value)
