@@ -153,6 +153,32 @@ def test_stream_applies_each_change_once(spark, root, tmp_path):
     assert rows(Store(spark, target).df("t")) == [*EXPECTED, ("D", 4.0, None)] or rows(Store(spark, target).df("t")) == [*EXPECTED, ("D", 4.0, 5)]
 
 
+def test_statements_are_sent_at_least_once(spark, root, tmp_path):
+    log = changelog.Logged(spark, root)
+    changes(log)
+    log.insert("t", ["sym", "price"], [["it's \\ x", None]])
+    log.rename("t", "u")
+    log.drop("u")
+    place, sent = str(tmp_path / "place"), []
+
+    def send(text):
+        if len(sent) == 3 and not stopped:
+            stopped.append(1)
+            raise RuntimeError("the line is down")
+        sent.append(text)
+
+    stopped = []
+    with pytest.raises(Exception, match="the line is down"):
+        changelog.deliver(spark, root, send, place).awaitTermination()
+    changelog.deliver(spark, root, send, place).awaitTermination()
+    changelog.deliver(spark, root, send, place).awaitTermination()
+    assert sent == [
+        "CREATE TABLE IF NOT EXISTS t (`sym` Nullable(String), `price` Nullable(Float64)) ENGINE = MergeTree ORDER BY tuple()", "INSERT INTO t (`sym`, `price`) VALUES ('A', 1.5), ('B', 2.0), ('C', NULL)",
+        "ALTER TABLE t UPDATE `price` = 3.0 WHERE `sym` = 'A'", "ALTER TABLE t DELETE WHERE `sym` = 'B'", "ALTER TABLE t ADD COLUMN IF NOT EXISTS `lot` Nullable(Int64) DEFAULT 5", "ALTER TABLE t RENAME COLUMN `lot` TO `lots`",
+        "INSERT INTO t (`sym`, `price`) VALUES ('it\\'s \\\\ x', NULL)", "RENAME TABLE t TO u", "DROP TABLE IF EXISTS u",
+    ]
+
+
 def test_merging_tables(spark, root):
     df = spark.createDataFrame([(1, "v1", 1), (1, "v2", 2), (2, "a", 1)], "id int, value string, version int")
     assert rows(engines.replacing(df, ["id"], ["version"])) == [(1, "v2", 2), (2, "a", 1)]

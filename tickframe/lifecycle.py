@@ -293,6 +293,14 @@ def stream_again(spark, sf_dir):
     return Store(spark, target).df("e").where("event_id in (1, 2, 3)").select("event_id", "seen")
 
 
+@query(_LOGGED)
+def bridge_statements(spark, sf_dir):
+    """The log delivered as statements, which a session over another store carries out."""
+    source, other = logged(spark, sf_dir), Session(spark, folder(spark))
+    changelog.deliver(spark, source.log.root, other.execute, folder(spark), files_per_batch=3).awaitTermination()
+    return other.query("SELECT event_id, value, lots FROM e")
+
+
 @query("select event_type, count(*) as rows, min(epoch_us(ts)) as first, max(epoch_us(ts)) as last from events where event_id < 600 group by event_type")
 def ticks_as_micros(spark, sf_dir):
     """Rows inserted as ts into a table that keeps microseconds, grouped and in order."""
