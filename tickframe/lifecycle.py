@@ -167,6 +167,20 @@ def select_all_strict(spark, sf_dir):
     return s.query("SELECT * FROM nation")
 
 
+@query(
+    "select date_trunc('hour', ts) as h, count(*) filter (event_type = 'click') as clicks, round(sum(value) filter (user_id < 50), 4) as low, round(quantile_cont(value, 0.9), 6) as q, "
+    "sum(case when value < 50 then 1 when value < 100 then 2 else 3 end)::bigint as band, count(distinct user_id) as users from events where value > 10 group by 1"
+)
+def dialect_functions(spark, sf_dir):
+    s = Session(spark, folder(spark))
+    s.run("CREATE TABLE ev (ts DateTime64(6), user_id Int64, event_type String, value Float64) ENGINE = MergeTree ORDER BY ts")
+    dml.insert(s.store, "ev", t(spark, sf_dir, "events").select("ts", "user_id", "event_type", "value"))
+    return s.query(
+        "SELECT toStartOfHour(ts) AS h, countIf(event_type = 'click') AS clicks, round(sumIf(value, user_id < 50), 4) AS low, round(quantile(0.9)(value), 6) AS q, "
+        "sum(multiIf(value < 50, 1, value < 100, 2, 3)) AS band, uniqExact(user_id) AS users FROM ev PREWHERE value > 10 GROUP BY h"
+    )
+
+
 # Formats
 
 
