@@ -177,7 +177,9 @@ def test_one_of_each_group_stays(docs):
     assert left == {r.doc_id for r in docs.collect()} - {r.doc_id for r in groups if not r.stays}
 
 
-def test_forest_depth_and_full_nodes(spark):
+@pytest.mark.parametrize("middle", [32, 2048])
+def test_forest_depth_and_full_nodes(middle, monkeypatch):
+    monkeypatch.setattr(simhash, "MIDDLE_NODE", middle)
     assert simhash.tries(8) < simhash.tries(16) and 1 - (1 - simhash.agree(12)) ** simhash.tries(12) >= simhash.RECALL
     rng = np.random.default_rng(2)
     base = rng.integers(0, 256, (3, 32), dtype=np.uint8)
@@ -245,11 +247,12 @@ def test_depth_follows_density(spark, monkeypatch):
     assert all(near[i].any() or near[:, i].any() for i in range(len(sigs)) if sigs[i].tobytes() in root)
 
 
-def test_nodes_with_guests(spark):
+def test_nodes_with_guests(monkeypatch):
     """Pairs of which one is at home are found in small and in large nodes."""
     rng = np.random.default_rng(4)
     base = rng.integers(0, 256, (6, 32), dtype=np.uint8)
-    for n in (20, 200):
+    for n, middle in ((20, simhash.MIDDLE_NODE), (200, simhash.MIDDLE_NODE), (200, 32)):
+        monkeypatch.setattr(simhash, "MIDDLE_NODE", middle)
         sigs = np.array([flipped(rng, base[i % 6], int(rng.integers(0, 30))) for i in range(n)])
         home = rng.random(n) < 0.3
         member, first = simhash.spanning(sigs, np.array([0]), home)

@@ -45,7 +45,9 @@ FULL = 512
 DEEPER = 1 << 20
 #: What handling a row of a trie costs, in comparisons of two signatures.
 ROW_COST = 150
-SMALL_NODE = 32
+#: Up to these sizes all pairs of a node are compared at once, of many nodes together or of one; larger nodes are searched
+#: part by part, as few comparisons are enough where many are near.
+SMALL_NODE, MIDDLE_NODE = 32, 2048
 _LANES = sum((((np.arange(256, dtype=np.uint64) >> np.uint64(i)) & np.uint64(1)) << np.uint64(8 * i)) for i in range(8))
 _PLANES = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
 
@@ -209,6 +211,17 @@ def spanning(sigs: np.ndarray, heads: np.ndarray, home: np.ndarray | None = None
         close = np.bitwise_count(lines[i] ^ lines[i + step]).sum(1, dtype=np.int64) <= NEAR
         left.append(i[close])
         right.append(i[close] + step)
+    columns = np.ascontiguousarray(lines.T)
+    for h, e in zip(*(x[(sizes > SMALL_NODE) & (sizes <= MIDDLE_NODE)].tolist() for x in (heads, ends))):
+        for i in range(h, e, 64):
+            j = min(i + 64, e)
+            apart = np.zeros((j - i, e - i), np.uint16)
+            for c in columns:
+                apart += np.bitwise_count(c[i:j, None] ^ c[None, i:e])
+            x, y = np.nonzero(apart <= NEAR)
+            some = (y > x) & (home[i + x] | home[i + y])
+            left.append(i + x[some])
+            right.append(i + y[some])
     if left:
         a, b = np.concatenate(left), np.concatenate(right)
         while len(a):
@@ -219,7 +232,7 @@ def spanning(sigs: np.ndarray, heads: np.ndarray, home: np.ndarray | None = None
             label = label[label]
             if np.array_equal(before, label):
                 break
-    for h, e in zip(heads[sizes > SMALL_NODE], ends[sizes > SMALL_NODE]):
+    for h, e in zip(heads[sizes > MIDDLE_NODE], ends[sizes > MIDDLE_NODE]):
         rest = np.arange(h, e)
         while home[rest].any():
             part = rest[np.argmax(home[rest])]
