@@ -272,7 +272,7 @@ def test_the_row_that_stays_does_not_hang_on_the_order(spark):
 def test_columns_that_differ_in_case_only(spark):
     df = spark.createDataFrame([(i, "some text of words", "en", "s", 0) for i in range(3)], SCHEMA).select("*", F.lit("other").alias("TEXT"), F.lit(7).alias("Doc_Id"))
     assert [r.doc_id for r in quality.assess(df).collect()] == [0, 1, 2] and quality.reject(df).columns == df.columns
-    assert len(simhash.thinned(df).collect()) == 1 and mixing.mixed(df).columns == df.columns
+    assert len(simhash.thinned(df).collect()) == 1 and mixing.mixed(df).columns == df.columns and mixing.allocate(df).count() == 3
     assert shard.assign(df)[0].columns == [*df.columns, "shard"] and len(shard.sharded(df).collect()) == 3
     bench = spark.createDataFrame([(1, "text of words")], "item_id bigint, text string")
     assert decontam.leaks(df, bench).count() == 3 and decontam.clean(df, bench).count() == 0

@@ -97,7 +97,7 @@ def copied(docs: DataFrame, weights: dict[str | None, int] | None = None, total:
 def allocate(docs: DataFrame, weights: dict[str | None, int] | None = None, total: int | None = None, seed: str = SEED) -> DataFrame:
     """doc_id, source, certain copies and all copies, for every row of docs, also those of no copy."""
     out, certain, copies = copied(docs, weights, total, seed)
-    return out.select("doc_id", "source", F.col(certain).alias("certain"), F.col(copies).alias("copies"))
+    return out.select(column(out, "doc_id").alias("doc_id"), column(out, "source").alias("source"), F.col(certain).alias("certain"), F.col(copies).alias("copies"))
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, int] | None = None, total: int | None = None, seed: str = SEED) -> DataFrame:
