@@ -25,7 +25,10 @@ def chain(rng, n):
     return " ".join(out)
 
 
-def test_language_model_learns_and_holds_out(spark):
+@pytest.mark.parametrize("words_", [maxent.WORDS, 2000])
+def test_language_model_learns_and_holds_out(spark, words_, monkeypatch):
+    monkeypatch.setattr(maxent, "WORDS", words_)
+    assert maxent.rounds(48_000, 4) == (2 if words_ > 2000 else 6)
     rng = random.Random(4)
     train = spark.createDataFrame([(i, chain(rng, 400)) for i in range(120)], DOC)
     held = spark.createDataFrame([(i, chain(rng, 200)) for i in range(20)], DOC)

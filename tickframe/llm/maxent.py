@@ -12,7 +12,8 @@ table and, with the node, to a row of the word table. The word table has `ROOT`
 the number of words in the corpus, the class table half as many; small corpora have `WORD_ROWS` and `CLASS_ROWS`. So
 tables grow with the corpus, as slowly as it must be for every worker to hold them, and contexts share rows.
 
-All counts are over the whole corpus. Training passes over each document once, in `ROUNDS` parts: every task
+All counts are over the whole corpus. Training passes over each document once, in `ROUNDS` parts, or as many as leave a task
+no more than about `WORDS` words in each, so that no task is long to do again: every task
 takes gradient steps on its documents from the weights sent out, and returns the rows that it has changed
 times how often; a row's new weights are the mean of the tasks' weights by that number, summed block by block on
 the executors. As many tasks train at once as there are cores, as each returns up to a whole
@@ -43,7 +44,7 @@ CLASSES = 16
 LEAST, OWN = 5, 512
 CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 15
 ROOT = 16
-ROUNDS = 2
+ROUNDS, WORDS = 2, 1 << 27
 BATCH = 2048
 RATE = 0.7
 BLOCKS = 256
@@ -60,7 +61,7 @@ def uniform() -> np.ndarray:
 class Model:
     """known: hashes of the words with an output, sorted, and output: their places, a node's number times `WIDTH`
     and the place in it; class_bias and word_bias are unigram logarithms. above: the places that lead to the nodes
-    beyond the classes; unknown: the unknown word's place; spelling: bits of each byte after each, `_EDGE` for a
+    beyond the classes; unknown: the unknown word's place; total: words in the corpus; spelling: bits of each byte after each, `_EDGE` for a
     word's start and end."""
 
     known: np.ndarray
@@ -71,6 +72,7 @@ class Model:
     word_rows: np.ndarray
     above: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     unknown: int = 0
+    total: int = 0
     spelling: np.ndarray = field(default_factory=uniform)
 
     def outputs(self, codes: np.ndarray) -> np.ndarray:
@@ -294,7 +296,7 @@ def started(docs: DataFrame) -> Model:
     class_rows = np.zeros((max(CLASS_ROWS, rows // 2), CLASSES), np.float32)
     word_rows = np.zeros((max(WORD_ROWS, rows), WIDTH), np.float32)
     output = np.delete(where, unknown)[sorted_].astype(np.int32)
-    return Model(codes[sorted_], output, share.astype(np.float32), within.astype(np.float32), class_rows, word_rows, above, int(where[unknown]))
+    return Model(codes[sorted_], output, share.astype(np.float32), within.astype(np.float32), class_rows, word_rows, above, int(where[unknown]), total)
 
 
 def learn(model: Model, rolling: Rolling, texts: Iterator[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -319,12 +321,18 @@ def learn(model: Model, rolling: Rolling, texts: Iterator[pa.Array]) -> tuple[np
     return used_c, used_w, pairs
 
 
+def rounds(total: int, tasks: int) -> int:
+    return max(ROUNDS, -(-total // (tasks * WORDS)))
+
+
 def trained(docs: DataFrame) -> Model:
     spark = docs.sparkSession
     model = started(docs)
-    texts = docs.select(column(docs, "text").alias("text"), F.pmod(F.xxhash64(column(docs, "doc_id")), F.lit(ROUNDS)).alias("part"))
+    tasks = max(1, spark.sparkContext.defaultParallelism)
+    parts = rounds(model.total, tasks)
+    texts = docs.select(column(docs, "text").alias("text"), F.pmod(F.xxhash64(column(docs, "doc_id")), F.lit(parts)).alias("part"))
     pairs = np.zeros((_EDGE + 1, _EDGE + 1))
-    for part in range(ROUNDS):
+    for part in range(parts):
         sent = spark.sparkContext.broadcast(model)
 
         def worked(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -350,7 +358,7 @@ def trained(docs: DataFrame) -> Model:
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["block", "sums"])
 
-        own = texts.where(F.col("part") == part).select("text").coalesce(max(1, spark.sparkContext.defaultParallelism))
+        own = texts.where(F.col("part") == part).select("text").coalesce(tasks)
         sums = own.mapInArrow(worked, "block int, sums binary").repartition("block").mapInArrow(added, "block int, sums binary").toArrow()
         for b, packed in zip(sums["block"].to_pylist(), sums["sums"]):
             packed, at = np.frombuffer(packed.as_buffer(), np.float32), 0
